@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from facetrail.llm.canon import map_values, typed_relations
 from facetrail.llm.cooccur import associations, faces_of_photos
 from facetrail.llm.mixing import mix_sources
+from facetrail.llm.setjoin import similar_records
 from facetrail.llm.splitting import split_texts
 from facetrail.llm.tokens import encode_corpus
 from facetrail.llm.topn import best_names
@@ -31,6 +33,17 @@ def p4_lift(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select("user_id", F.col("item_a").alias("face_a"), F.col("item_b").alias("face_b"), "n_ab", "n_a", "n_b", "n_baskets", F.round("lift", 6).alias("lift"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    typed = typed_relations(table(spark, d, "predicted_persons"), table(spark, d, "target_persons"))
+    mapped = map_values(typed, "value", table(spark, d, "relation_entries"), "kind", ["from_table", "row_id", "field_name"])
+    return mapped.select("from_table", "row_id", "field_name", "entry_id").distinct()
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = similar_records(table(spark, d, "event_nodes"), "event_id", ["terms", "activity_terms", "venue_terms"], 0.6, 4)
+    return pairs.select(F.col("id_a").alias("event_a"), F.col("id_b").alias("event_b"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(table(spark, d, "documents"), "doc_id", "text")
 
@@ -48,7 +61,7 @@ def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p4_found, p4_lift, p7_ids, p8_mix, p8_shares, p9_pieces)}
+    return {f.__name__: f for f in (p3_found, p4_found, p4_lift, p5_found, p6_found, p7_ids, p8_mix, p8_shares, p9_pieces)}
 
 
 P3_SQL = """
@@ -90,5 +103,18 @@ JOIN total t ON t.user_id = p.user_id WHERE p.n * t.n >= 2 * a.n * b.n
 """
 
 
+P6_SQL = """
+WITH raw AS (
+  SELECT event_id, list_concat(list_concat(coalesce(terms, []), coalesce(activity_terms, [])), coalesce(venue_terms, [])) AS t FROM event_nodes),
+item AS (SELECT DISTINCT event_id, v FROM (SELECT event_id, lower(trim(unnest(t))) AS v FROM raw) WHERE v <> '' AND event_id IS NOT NULL),
+size AS (SELECT event_id, count(*) AS n FROM item GROUP BY event_id HAVING count(*) >= 4),
+pair AS (
+  SELECT a.event_id AS event_a, b.event_id AS event_b, count(*) AS c FROM item a JOIN item b ON a.v = b.v AND a.event_id < b.event_id
+  GROUP BY a.event_id, b.event_id)
+SELECT event_a, event_b FROM pair JOIN size x ON x.event_id = event_a JOIN size y ON y.event_id = event_b
+WHERE c * 10 >= 6 * (x.n + y.n - c)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p3_found": P3_SQL, "p4_found": P4_SQL, "p4_lift": P4_LIFT_SQL}
+    return {"p6_found": P6_SQL, "p3_found": P3_SQL, "p4_found": P4_SQL, "p4_lift": P4_LIFT_SQL}
