@@ -48,3 +48,11 @@ def cut(df: DataFrame) -> DataFrame:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of a scale directory."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows over as many partitions as the session shuffles into, or has cores: for stages that cost much CPU a row, whose
+    few bytes would otherwise be brought together into few tasks."""
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *columns)
