@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from facetrail.session import spread
+
 MIX = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
 
@@ -31,7 +33,7 @@ def most_different(small: int, large: int, threshold: float) -> int:
 def segments(small: int, threshold: float) -> int:
     """Number of segments for sets whose smaller size is ``small``."""
     largest = math.floor(small / threshold + 1e-9)
-    return max(1, -(-2 * (most_different(small, largest, threshold) + 1) // 3))
+    return max(1, -(-4 * (most_different(small, largest, threshold) + 1) // 5))
 
 
 def scramble(x: int) -> int:
@@ -151,7 +153,7 @@ def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
                     reps, keys, sides, sizes = [], [], [], []
             yield out()
 
-    keyed = weighed.mapInArrow(run, T.StructType([T.StructField("rep", T.StringType()), T.StructField("key", T.LongType()), T.StructField("probe", T.BooleanType()), T.StructField("n", T.IntegerType())]))
+    keyed = spread(weighed, "rep").mapInArrow(run, T.StructType([T.StructField("rep", T.StringType()), T.StructField("key", T.LongType()), T.StructField("probe", T.BooleanType()), T.StructField("n", T.IntegerType())]))
     index = keyed.where("not probe").select("key", F.col("rep").alias("x"), F.col("n").alias("nx"))
     probe = keyed.where("probe").select("key", F.col("rep").alias("y"), F.col("n").alias("ny"))
     found = index.join(probe, "key").where("nx < ny or (nx = ny and x < y)").select("x", "y").distinct()
