@@ -105,8 +105,8 @@ def budgets(sizes: DataFrame, targets: DataFrame, most_targets: int = 100_000) -
     if len(wanted.limit(most_targets + 1).collect()) > most_targets:
         raise ValueError(f"more than {most_targets} targets")
     per_source = sizes.where("n_tokens > 0").groupBy("source").agg(F.sum("n_tokens").alias("available"))
-    corpus = sizes.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("corpus"))
-    rows = wanted.join(per_source, "source", "left").crossJoin(F.broadcast(corpus)).collect()  # corpus is one row
+    corpus = sizes.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
+    rows = wanted.join(per_source, "source", "left").collect()
     mixes: dict = {}
     for r in rows:
         mixes.setdefault(r["mix_id"], []).append(r)
@@ -114,7 +114,7 @@ def budgets(sizes: DataFrame, targets: DataFrame, most_targets: int = 100_000) -
     for mix in sorted(mixes):
         group = sorted(mixes[mix], key=lambda r: r["source"])
         weights = sum(max(r["target_share"] or 0.0, 0.0) for r in group) or 1.0
-        total = max((r["total_ratio"] or 0.0) for r in group) * group[0]["corpus"]
+        total = max((r["total_ratio"] or 0.0) for r in group) * corpus
         leaves = [(r["source"], max(r["target_share"] or 0.0, 0.0) / weights, float(max(r["max_repeats"] or 0, 0) * (r["available"] or 0))) for r in group]
         got = hierarchical_budgets(leaves, total)
         out += [(mix, r["source"], r["target_share"], max(r["max_repeats"] or 0, 0), total * leaf[1], r["available"] or 0, round(got[r["source"]])) for r, leaf in zip(group, leaves)]

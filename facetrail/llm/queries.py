@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from facetrail.llm.canon import map_values, typed_relations
 from facetrail.llm.cooccur import associations, faces_of_photos
 from facetrail.llm.mixing import mix_sources
+from facetrail.llm.names import linked_records, same_person
 from facetrail.llm.setjoin import similar_records
 from facetrail.llm.splitting import split_texts
 from facetrail.llm.tokens import encode_corpus
@@ -17,6 +18,15 @@ from facetrail.llm.topn import best_names
 from facetrail.session import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return linked_records(table(spark, d, "name_clusters"), table(spark, d, "target_persons"))
+
+
+def p1_persons(spark: SparkSession, d: str) -> DataFrame:
+    """Every record that names somebody with its person."""
+    return same_person(table(spark, d, "name_clusters"), table(spark, d, "target_persons"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return best_names(table(spark, d, "identity_edges"), 3).select("user_id", "face_id", "edge_id")
 
@@ -61,7 +71,7 @@ def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p4_found, p4_lift, p5_found, p6_found, p7_ids, p8_mix, p8_shares, p9_pieces)}
+    return {f.__name__: f for f in (p1_found, p1_persons, p3_found, p4_found, p4_lift, p5_found, p6_found, p7_ids, p8_mix, p8_shares, p9_pieces)}
 
 
 P3_SQL = """
