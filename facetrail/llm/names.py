@@ -14,7 +14,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -145,15 +145,10 @@ def read(surface: str | None) -> tuple[str, str, str, str] | None:
     return FULL, NICKNAMES.get(head, head), family, generation
 
 
-def allowed(n: int) -> int:
-    """Edits within which two names of at least n letters may be one."""
-    return 0 if n < 3 else 1 if n < 6 else 2
-
-
 RADIUS = 2
 #: A spelling is taken for a name of its own, not for an error, if at least so many albums have it and it is at least so
 #: often met as a share of the other spelling.
-ESTABLISHED, SHARE = 3, 0.2
+ESTABLISHED, SHARE = 3, 0.5
 
 READINGS = T.StructType([T.StructField(c, T.StringType()) for c in ("user_id", "rec", "kind", "given", "family", "generation")])
 
@@ -179,7 +174,7 @@ def readings(recs: DataFrame) -> DataFrame:
                 got = {r for s in surfaces or [] if (r := read(s))}
                 known = {r[2] for r in got if r[2]}
                 given = read(first) if first and len(plain(first)) > 2 and not first.endswith(".") else None
-                given = given[1] if given and given[0] == GIVEN and given[1] not in known else ""
+                given = given[1] if given and given[0] == GIVEN and given[1] not in known | {r[1] for r in got if r[0] == INITIAL} else ""
                 if given and not any(r[0] == FULL for r in got):
                     named = known or {f for x in (families or [])[:1] if not x.endswith((".", ")")) and len(f := plain(x.split("-")[0])) > 2 and f not in {r[1] for r in got}}
                     mark = next((r[3] for r in got if r[3]), "")
@@ -192,18 +187,26 @@ def readings(recs: DataFrame) -> DataFrame:
     return spread(recs).select("user_id", "rec", "surfaces", "first_name", "families").mapInArrow(run, READINGS).distinct()
 
 
+def sound(name: Column) -> Column:
+    """Consonants of a name as they sound: spellings that only sound alike are never names of their own."""
+    for pattern, to in (("ph", "f"), ("qu", "kv"), ("ck|c|q", "k"), ("ks", "x"), ("w", "v"), ("z", "s"), ("[aeiouyh]", ""), (r"(.)\1+", "$1")):
+        name = F.regexp_replace(name, pattern, to)
+    return name
+
+
 def near_names(full: DataFrame) -> DataFrame:
     """Pairs of points (user_id, g1, f1, g2, f2) that may be one name: within the radius, near enough in both parts for
     their lengths, and not two spellings that are both established as names of their own."""
     cell = F.concat_ws("\x1e", F.col("user_id"), F.col("generation"))
     pairs = radius_join(full.select(cell.alias("cell"), "given", "family").distinct(), RADIUS)
-    by_length = lambda a, b: F.expr(f"case when least(length({a}), length({b})) < 3 then 0 when least(length({a}), length({b})) < 6 then 1 else 2 end")
+    by_length = lambda a, b: F.expr(f"case when least(length({a}), length({b})) < 3 then 0 when least(length({a}), length({b})) < 5 then 1 else 2 end")
     pairs = pairs.where((F.col("dg") <= by_length("g1", "g2")) & (F.col("df") <= by_length("f1", "f2")))
     out = pairs
     for part, one, two, d in (("given", "g1", "g2", "dg"), ("family", "f1", "f2", "df")):
         met = full.select("user_id", part).distinct().groupBy(part).agg(F.count("*").alias("n")).where(f"n >= {ESTABLISHED}")
         differ = out.where(f"{d} > 0").join(met.select(F.col(part).alias(one), F.col("n").alias("n1")), one, "left").join(met.select(F.col(part).alias(two), F.col("n").alias("n2")), two, "left")
-        kept = differ.where(f"n1 is null or n2 is null or least(n1, n2) < {SHARE} * greatest(n1, n2)").drop("n1", "n2")
+        own = F.coalesce(F.least("n1", "n2") >= F.lit(SHARE) * F.greatest("n1", "n2"), F.lit(False)) & F.col("n1").isNotNull() & F.col("n2").isNotNull()
+        kept = differ.where(~own | (sound(F.col(one)) == sound(F.col(two)))).drop("n1", "n2")
         out = out.where(f"{d} = 0").unionByName(kept)
     return out
 
