@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from facetrail.plans import sessions
+from facetrail.plans import search, sessions
 
-MODULES = (sessions,)
-FLAGSHIP = "p2_found"
+MODULES = (sessions, search)
+FLAGSHIP = "keyword_search_topk"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
