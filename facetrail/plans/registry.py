@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from facetrail.plans import search, sessions
+from facetrail.plans import albums, search, sessions
 
-MODULES = (sessions, search)
+MODULES = (sessions, search, albums)
 FLAGSHIP = "keyword_search_topk"
 
 
