@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from facetrail.plans import albums, search, sessions
+from facetrail.plans import albums, evaluation, search, sessions
 
-MODULES = (sessions, search, albums)
+MODULES = (sessions, search, albums, evaluation)
 FLAGSHIP = "keyword_search_topk"
 
 
