@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from facetrail.plans import albums, evaluation, relations, search, sessions
+from facetrail.plans import albums, evaluation, profiles, relations, search, sessions
 
-MODULES = (sessions, search, albums, evaluation, relations)
+MODULES = (sessions, search, albums, evaluation, relations, profiles)
 FLAGSHIP = "keyword_search_topk"
 
 
