@@ -164,6 +164,16 @@ def records(clusters: DataFrame, persons: DataFrame) -> DataFrame:
     return a.unionByName(b).where("user_id is not null and rec is not null")
 
 
+def surface_records(units: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Records of the distinct surfaces of an album's texts, as ``records`` gives them; their ids begin with '~'.
+
+    Null and blank surfaces, and those that a cluster of the album flags as sign or organization, are left out."""
+    noise = clusters.where(F.arrays_overlap("quality_flags", F.array(F.lit("ocr_like"), F.lit("organization_like"))) & F.col("last_name_candidates").isNull())
+    none = noise.select("user_id", F.explode("surfaces").alias("s")).distinct()
+    said = units.select("user_id", F.explode("person_surfaces").alias("s")).where("user_id is not null and trim(s) <> ''").distinct()
+    return said.join(none, ["user_id", "s"], "left_anti").select("user_id", F.concat(F.lit("~"), F.col("s")).alias("rec"), F.array("s").alias("surfaces"), F.lit(None).cast("string").alias("first_name"), F.array().cast("array<string>").alias("families"))
+
+
 def readings(recs: DataFrame) -> DataFrame:
     """READINGS of all records: kinds F, I, L, G as read from the surfaces and from the cluster's own columns."""
 
@@ -211,12 +221,16 @@ def near_names(full: DataFrame) -> DataFrame:
     return out
 
 
-def same_person(clusters: DataFrame, persons: DataFrame) -> DataFrame:
+def same_person(clusters: DataFrame, persons: DataFrame, units: DataFrame | None = None) -> DataFrame:
     """(user_id, rec, person): the records that name somebody, with the least record of their person as its id.
 
+    With ``units``, the distinct surfaces of the album's texts are records too, with '~' before the surface as their id.
+
     Null and blank surfaces are not read, records without a readable name are persons of their own; repeated rows count
     once; persons of different albums are different. Extra columns don't matter."""
     recs = records(clusters, persons)
+    if units is not None:
+        recs = recs.unionByName(surface_records(units, clusters))
     read_ = cut(readings(recs))
     full = read_.where(F.col("kind") == FULL)
     point = lambda g, f, m, u: F.concat_ws("\x1e", F.lit("~"), F.col(u), F.col(g), F.col(f), F.col(m))
@@ -242,7 +256,8 @@ def same_person(clusters: DataFrame, persons: DataFrame) -> DataFrame:
         "user_id", "rec", "kind", F.col("given").alias("beginning"), F.col("generation").alias("mark"),
     )
     targets = forms(known.withColumn("whole", F.col("given")).withColumn("gen", F.col("generation")), ["whole", "gen", "root"]).join(asked.select("cell").distinct(), "cell", "left_semi")
-    targets = cut(targets)
+    # a form that several persons share stands for none of them: their least and greatest root tell
+    targets = cut(targets.groupBy("cell", "given", "family", "whole", "gen").agg(F.min("root").alias("root"), F.max("root").alias("other")))
     space = targets.select("cell", "given", "family").unionByName(asked.select("cell", "given", "family")).distinct()
     close = radius_join(space, 1).where("dg = 0 or not cell like '%\x1ef'")
     both = close.select("cell", "g1", "f1", "g2", "f2", (F.col("dg") + F.col("df")).alias("d")).unionByName(close.select("cell", F.col("g2").alias("g1"), F.col("f2").alias("f1"), F.col("g1").alias("g2"), F.col("f1").alias("f2"), (F.col("dg") + F.col("df")).alias("d")))
@@ -250,13 +265,13 @@ def same_person(clusters: DataFrame, persons: DataFrame) -> DataFrame:
     met = both.unionByName(same)
     hits = (
         asked.join(met, (asked["cell"] == met["cell"]) & (asked["given"] == met["g1"]) & (asked["family"] == met["f1"])).select(asked["cell"], "g2", "f2", "d", "user_id", "rec", "kind", "beginning", "mark")
-        .join(targets.select("cell", F.col("given").alias("g2"), F.col("family").alias("f2"), "whole", "gen", "root"), ["cell", "g2", "f2"])
+        .join(targets.select("cell", F.col("given").alias("g2"), F.col("family").alias("f2"), "whole", "gen", "root", "other"), ["cell", "g2", "f2"])
         .where(f"gen = mark and (kind <> '{INITIAL}' or startswith(whole, beginning))")
     )
     # the strongest kind of reading, then the nearest names; tied only if one person is left
     order = F.struct(F.when(F.col("kind") == INITIAL, 0).when(F.col("kind") == FAMILY, 1).otherwise(2).alias("k"), "d")
     best = hits.withColumn("best", F.min(order).over(W.partitionBy("user_id", "rec"))).where(order == F.col("best"))
-    tied = cut(best.groupBy("user_id", "rec").agg(F.min("root").alias("root"), F.max("root").alias("other")).where("root = other").select("user_id", "rec", "root"))
+    tied = cut(best.groupBy("user_id", "rec").agg(F.min("root").alias("root"), F.max("other").alias("other")).where("root = other").select("user_id", "rec", "root"))
     # weak records that read alike and fit nobody are one person
     left = weak.join(tied.select("user_id", "rec"), ["user_id", "rec"], "left_anti").where(F.col("kind") == INITIAL)
     alone = left.groupBy("user_id", "rec").agg(F.min(F.concat_ws("\x1e", F.lit("~"), "user_id", F.substring("given", 1, 1), "family", "generation")).alias("root"))

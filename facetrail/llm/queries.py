@@ -27,6 +27,12 @@ def p1_persons(spark: SparkSession, d: str) -> DataFrame:
     return same_person(table(spark, d, "name_clusters"), table(spark, d, "target_persons"))
 
 
+def p1_surfaces(spark: SparkSession, d: str) -> DataFrame:
+    """Every surface of an album's texts with its person: the id of a cluster or registered person, or the surface itself."""
+    who = same_person(*[table(spark, d, t) for t in ("name_clusters", "target_persons", "text_units")])
+    return who.where("startswith(rec, '~')").select("user_id", F.substring("rec", 2, 1_000_000).alias("surface"), "person")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return best_names(table(spark, d, "identity_edges"), 3).select("user_id", "face_id", "edge_id")
 
@@ -71,7 +77,7 @@ def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_persons, p3_found, p4_found, p4_lift, p5_found, p6_found, p7_ids, p8_mix, p8_shares, p9_pieces)}
+    return {f.__name__: f for f in (p1_found, p1_persons, p1_surfaces, p3_found, p4_found, p4_lift, p5_found, p6_found, p7_ids, p8_mix, p8_shares, p9_pieces)}
 
 
 P3_SQL = """

@@ -186,3 +186,11 @@ def test_linked_records(spark):
     tied = {(r.rec_a, r.rec_b) for r in linked_records(clusters.where("cluster_id <> 'c9'"), persons.where("person_id <> 'p2'")).collect()}
     assert ("c1", "c3") in tied
     assert linked_records(clusters.where("false"), persons.where("false")).count() == 0
+
+
+def test_surfaces_of_texts_get_persons(spark):
+    clusters = spark.createDataFrame([("u", "c1", ["Anthony Ostmund"], "Anthony Ostmund", None, {"Ostmund": 1}, None, "x"), ("u", "c2", ["Gate B"], "Gate B", "Gate", None, ["ocr_like"], "x")], CLUSTERS)
+    persons = spark.createDataFrame([("u", "p1", "Ann Kelwick", None, "x")], PERSONS)
+    units = spark.createDataFrame([("u", ["Tony Ostmund", "Gate B", None, " "]), ("u", ["Tony Ostmund", "Kelwick, Ann"]), ("v", ["Tony Ostmund"]), ("u", None)], "user_id string, person_surfaces array<string>")
+    got = {(r.user_id, r.rec): r.person for r in same_person(clusters, persons, units).collect() if r.rec.startswith("~")}
+    assert got == {("u", "~Tony Ostmund"): "c1", ("u", "~Kelwick, Ann"): "p1", ("v", "~Tony Ostmund"): "~Tony Ostmund"}
