@@ -211,14 +211,15 @@ def near_names(full: DataFrame) -> DataFrame:
     pairs = radius_join(full.select(cell.alias("cell"), "given", "family").distinct(), RADIUS)
     by_length = lambda a, b: F.expr(f"case when least(length({a}), length({b})) < 3 then 0 when least(length({a}), length({b})) < 5 then 1 else 2 end")
     pairs = pairs.where((F.col("dg") <= by_length("g1", "g2")) & (F.col("df") <= by_length("f1", "f2")))
-    out = pairs
+    met = {part: full.select("user_id", part).distinct().groupBy(part).agg(F.count("*").alias("n")).where(f"n >= {ESTABLISHED}") for part in ("given", "family")}
+    for part, one, two in (("given", "g1", "g2"), ("family", "f1", "f2")):
+        for k, c in ((1, one), (2, two)):
+            pairs = pairs.join(met[part].select(F.col(part).alias(c), F.col("n").alias(f"{part}{k}")), c, "left")
     for part, one, two, d in (("given", "g1", "g2", "dg"), ("family", "f1", "f2", "df")):
-        met = full.select("user_id", part).distinct().groupBy(part).agg(F.count("*").alias("n")).where(f"n >= {ESTABLISHED}")
-        differ = out.where(f"{d} > 0").join(met.select(F.col(part).alias(one), F.col("n").alias("n1")), one, "left").join(met.select(F.col(part).alias(two), F.col("n").alias("n2")), two, "left")
-        own = F.coalesce(F.least("n1", "n2") >= F.lit(SHARE) * F.greatest("n1", "n2"), F.lit(False)) & F.col("n1").isNotNull() & F.col("n2").isNotNull()
-        kept = differ.where(~own | (sound(F.col(one)) == sound(F.col(two)))).drop("n1", "n2")
-        out = out.where(f"{d} = 0").unionByName(kept)
-    return out
+        n1, n2 = F.col(f"{part}1"), F.col(f"{part}2")
+        own = n1.isNotNull() & n2.isNotNull() & (F.least(n1, n2) >= F.lit(SHARE) * F.greatest(n1, n2))
+        pairs = pairs.where((F.col(d) == 0) | ~own | (sound(F.col(one)) == sound(F.col(two))))
+    return pairs.select("cell", "g1", "f1", "g2", "f2", "dg", "df")
 
 
 def same_person(clusters: DataFrame, persons: DataFrame, units: DataFrame | None = None) -> DataFrame:
