@@ -30,7 +30,7 @@ def caption_phrases(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fact_signatures(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where("length(text) < 400").groupBy(D.signature(F.col("text")).alias("signature")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
+    return table(spark, d, "documents").where("text is not null").groupBy(D.signature(F.col("text")).alias("signature")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
 
 
 def entity_cleaning(spark: SparkSession, d: str) -> DataFrame:
