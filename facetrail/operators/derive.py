@@ -16,10 +16,11 @@ ENTITY_KINDS, ENTITY_SOURCES = ("person", "organization", "location", "event"),
 
 def written_name(c: Column) -> Column:
     """A name as it is written out: signs around it and a trailing remark in brackets dropped, particles in lower case,
-    initials in upper case, other words with a capital after each hyphen and apostrophe."""
+    initials in upper case, other words with a capital after each hyphen and apostrophe. Parts of a word with digits, quotes
+    or other signs stay as they are written."""
     text = F.regexp_replace(one_space(c), r"^[#@\-\s:]+", "")
     text = F.regexp_replace(F.regexp_replace(text, r"\s+\([^)]+\)$", ""), r"^[ ,.;:!?]+|[ ,.;:!?]+$", "")
-    piece = lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.lower(F.substring(p, 2, 1000)))
+    piece = lambda p: F.when(p.rlike(r"^[\p{L}.,()]*[-']?$"), F.concat(F.upper(F.substring(p, 1, 1)), F.lower(F.substring(p, 2, 1000)))).otherwise(p)
     # hyphens and apostrophes are kept by marking the place behind them
     parts = lambda w: F.array_join(F.transform(F.split(F.regexp_replace(w, "([-'])", "$1\u0001"), "\u0001"), piece), "")
     word = lambda w: F.when(F.lower(w).isin(*PARTICLES), F.lower(w)).when(w.rlike(r"^[A-Za-z]\.$"), F.upper(w)).otherwise(parts(w))

@@ -13,7 +13,7 @@ from facetrail.session import table
 
 
 def written_names(spark: SparkSession, d: str) -> DataFrame:
-    n = table(spark, d, "name_clusters").select("cluster_id", "primary_surface").where("primary_surface rlike '^[A-Za-z .,()-]+$'").distinct()
+    n = table(spark, d, "name_clusters").select("cluster_id", "primary_surface").where("primary_surface is not null").distinct()
     name, relation = D.without_relation(F.col("primary_surface"))
     return n.select("cluster_id", D.written_name(F.col("primary_surface")).alias("written"), name.alias("bare"), relation.alias("relation"))
 

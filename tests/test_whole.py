@@ -1,5 +1,7 @@
 """Queries take in all rows of their tables, also those that the SQL beside them leaves out."""
 
+from collections import Counter
+
 import duckdb
 
 from facetrail.plans import derivations
@@ -30,3 +32,24 @@ def test_signatures_of_long_texts(spark, tmp_path):
 def test_signatures_equal_their_sql_over_all_texts(spark):
     sql = widened(derivations.SQL["fact_signatures"], "length(text) < 400", "text IS NOT NULL")
     assert canon(derivations.fact_signatures(spark, SF).toPandas()) == in_duckdb(sql)
+
+
+NAMES = {
+    "Renée Ulvmerel": "Renée Ulvmerel", "ÉLODIE ÖSTVAL": "Élodie Östval", "žofia van Íñdal": "Žofia van Íñdal", "o'neil-smith d. VAN hale": "O'Neil-Smith D. van Hale", 'Margaret "Peggy" TOLGRAVET': 'Margaret "Peggy" Tolgravet',
+    "#@ ana DE bri": "Ana de Bri", "@kestrel_99": "kestrel_99", "J0rdan McVale": "J0rdan Mcvale", "BORN 1987": "Born 1987", "Aunt Zoë (left)": "Aunt Zoë", "  MÁRTA\tlind !": "Márta Lind", "###": "",
+}
+
+
+def test_written_names_of_any_letters_and_signs(spark, tmp_path):
+    rows = [(str(i), s) for i, s in enumerate(NAMES)] + [("none", None)]
+    spark.createDataFrame(rows, "cluster_id string, primary_surface string").write.parquet(f"{tmp_path}/name_clusters.parquet")
+    got = {r["cluster_id"]: r for r in derivations.written_names(spark, str(tmp_path)).collect()}
+    assert {s: got[i]["written"] for i, s in rows if s is not None} == NAMES and set(got) == {i for i, s in rows if s is not None}
+    assert (got["9"]["bare"], got["9"]["relation"]) == ("Zoë (left)", "aunt") and got["0"]["relation"] is None
+
+
+def test_written_names_hold_those_of_the_sql(spark):
+    cols, got = canon(derivations.written_names(spark, SF).toPandas())
+    sql_cols, want = in_duckdb(derivations.SQL["written_names"])
+    every = spark.read.parquet(f"{SF}/name_clusters.parquet").where("primary_surface is not null").select("cluster_id", "primary_surface").distinct().count()
+    assert cols == sql_cols and not Counter(want) - Counter(got) and len(got) == every
