@@ -45,7 +45,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_lift(spark: SparkSession, d: str) -> DataFrame:
     baskets = faces_of_photos(table(spark, d, "photos"), table(spark, d, "face_units"))
-    pairs = associations(baskets, "user_id", "photo_id", "faces", min_count=5, min_lift=2.0)
+    pairs = associations(baskets, "user_id", "photo_id", "faces")
     return pairs.select("user_id", F.col("item_a").alias("face_a"), F.col("item_b").alias("face_b"), "n_ab", "n_a", "n_b", "n_baskets", F.round("lift", 6).alias("lift"))
 
 

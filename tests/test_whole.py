@@ -4,6 +4,7 @@ from collections import Counter
 
 import duckdb
 
+from facetrail.llm import queries
 from facetrail.plans import derivations
 from tests.conftest import SF
 from tests.test_queries import canon
@@ -53,3 +54,17 @@ def test_written_names_hold_those_of_the_sql(spark):
     sql_cols, want = in_duckdb(derivations.SQL["written_names"])
     every = spark.read.parquet(f"{SF}/name_clusters.parquet").where("primary_surface is not null").select("cluster_id", "primary_surface").distinct().count()
     assert cols == sql_cols and not Counter(want) - Counter(got) and len(got) == every
+
+
+def test_lift_of_every_pair(spark, tmp_path):
+    photos = [("u", "p1", ["a", "b"]), ("u", "p2", ["a", "c"]), ("u", "p3", ["a"]), ("u", "p4", ["b"])]
+    spark.createDataFrame(photos, "user_id string, photo_id string, visible_face_ids array<string>").write.parquet(f"{tmp_path}/photos.parquet")
+    spark.createDataFrame([], "user_id string, photo_id string, face_id string, co_faces array<string>").write.parquet(f"{tmp_path}/face_units.parquet")
+    got = sorted(tuple(r) for r in queries.p4_lift(spark, str(tmp_path)).collect())
+    assert got == [("u", "a", "b", 1, 3, 2, 4, 0.666667), ("u", "a", "c", 1, 3, 1, 4, 1.333333)]
+
+
+def test_lift_equals_its_sql_without_thresholds(spark):
+    sql = widened(queries.P4_LIFT_SQL, " HAVING count(*) >= 5", "")
+    sql = widened(sql, " WHERE p.n * t.n >= 2 * a.n * b.n", "")
+    assert canon(queries.p4_lift(spark, SF).toPandas()) == in_duckdb(sql)
