@@ -106,8 +106,10 @@ def same_photo_weights(photos: DataFrame, clusters: DataFrame) -> DataFrame:
 def bridges(face_units: DataFrame, text_units: DataFrame, near_days: int = 14) -> DataFrame:
     """(user_id, face_id, face_photo, text_photo, bridge): faces and texts on different photos that time and place bring
     together: 'location_month' (one place contains the other), else 'city_month', else 'near_date_city' within
-    ``near_days``. Every branch is an equality join on album and city, or album and month, with the rest as a residual."""
-    day = lambda: F.to_date(F.regexp_extract("timestamp", r"^(\d{4}-\d{2}-\d{2})", 1).try_cast("date"))
+    ``near_days`` of the dates as written, dashed or compact. Every branch is an equality join on album and city, or album
+    and month, with the rest as a residual."""
+    written = F.regexp_extract("timestamp", r"^(\d{4}-\d{2}-\d{2}|\d{8}(?!\d))", 1)
+    day = lambda: F.regexp_replace(written, r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3").try_cast("date")
     f = face_units.select("user_id", "face_id", F.col("photo_id").alias("face_photo"), F.col("year_month").alias("ym"), fold(F.col("gps_city")).alias("city"), fold(F.col("gps_location")).alias("place"), day().alias("day")).distinct()
     t = text_units.select("user_id", F.col("photo_id").alias("text_photo"), F.col("year_month").alias("ym2"), fold(F.col("gps_city")).alias("city2"), fold(F.col("gps_location")).alias("place2"), day().alias("day2")).distinct()
     other = F.col("face_photo") != F.col("text_photo")

@@ -3,9 +3,11 @@
 from collections import Counter
 
 import duckdb
+import pytest
 
 from facetrail.llm import queries
-from facetrail.plans import derivations
+from facetrail.operators.albums import bridges
+from facetrail.plans import albums, derivations
 from tests.conftest import SF
 from tests.test_queries import canon
 
@@ -68,3 +70,18 @@ def test_lift_equals_its_sql_without_thresholds(spark):
     sql = widened(queries.P4_LIFT_SQL, " HAVING count(*) >= 5", "")
     sql = widened(sql, " WHERE p.n * t.n >= 2 * a.n * b.n", "")
     assert canon(queries.p4_lift(spark, SF).toPandas()) == in_duckdb(sql)
+
+
+def test_bridges_of_compact_dates(spark):
+    unit = "user_id string, face_id string, photo_id string, year_month string, timestamp string, gps_city string, gps_location string"
+    row = lambda photo, month, ts: ("u", "a", photo, month, ts, "Oslo", None)
+    faces = spark.createDataFrame([row("f1", "2018-08", "20180829T205241Z"), row("f2", "2018-08", "2018-08-29T20:52:41"), row("f3", "2018-08", "20180899T000000Z"), row("f4", "2018-08", "201808291234")], unit)
+    texts = spark.createDataFrame([row("t1", "2018-09", "20180903T081500Z"), row("t2", "2018-09", "2018-09-03 08:15:00"), row("t3", "2018-09", "20180920T081500Z"), row("t4", "2018-09", "20180903")], unit)
+    got = sorted((r["face_photo"], r["text_photo"], r["bridge"]) for r in bridges(faces, texts).collect())
+    assert got == [(f, t, "near_date_city") for f in ("f1", "f2") for t in ("t1", "t2", "t4")]
+
+
+@pytest.mark.parametrize("name", ["bridge_counts", "identity_pair_score"])
+def test_bridges_equal_their_sql_with_compact_dates(spark, name):
+    sql = widened(albums.SQL[name], "regexp_extract(timestamp,", r"regexp_extract(regexp_replace(timestamp, '^(\d{4})(\d{2})(\d{2})(\D|$)', '\1-\2-\3\4'),")
+    assert canon(albums.QUERIES[name](spark, SF).toPandas()) == in_duckdb(sql)
