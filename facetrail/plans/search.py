@@ -89,9 +89,18 @@ def frequent_terms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def relation_words(spark: SparkSession, d: str) -> DataFrame:
-    entries = table(spark, d, "relation_entries").where("entry_kind = 'relation' and entry_label rlike '^[a-z]+$'").select("entry_id", F.col("entry_label").alias("word"))
-    units = table(spark, d, "text_units").select("user_id", "unit_id", F.explode(F.split(F.regexp_replace(F.lower("caption"), "[^a-z0-9]+", " "), " ")).alias("word")).where("word <> ''").distinct()
-    return units.join(entries, "word").groupBy("user_id", "word").agg(F.count("*").alias("n_units"))
+    """Units whose captions name a relation, by its label: labels and other labels of any number of words, an equality join on
+    their first words. What lies inside a longer one (the mother of mother-in-law) isn't counted."""
+    e = table(spark, d, "relation_entries").where("entry_kind = 'relation'")
+    names = F.concat(F.array("entry_label"), F.coalesce("other_labels", F.array().cast("array<string>")))
+    e = e.select(F.col("entry_label").alias("word"), F.explode(names).alias("name")).select("word", F.split(X.fold(F.col("name")), " ").alias("w"))
+    entries = e.select("word", "w", F.element_at("w", 1).alias("first"), F.size("w").alias("n")).where("first <> ''").distinct()
+    units = table(spark, d, "text_units").select("user_id", "unit_id", F.split(X.fold(F.col("caption")), " ").alias("words")).distinct()
+    hits = units.select("*", F.posexplode("words").alias("i", "first")).join(entries, "first").where(F.slice("words", F.col("i") + 1, F.col("n")) == F.col("w"))
+    of = hits.groupBy("user_id", "unit_id", "words").agg(F.collect_list(F.struct("i", "n", "word")).alias("hits"))
+    inside = lambda h, o: (o["n"] > h["n"]) & (o["i"] <= h["i"]) & (h["i"] + h["n"] <= o["i"] + o["n"])
+    kept = F.filter("hits", lambda h: ~F.exists("hits", lambda o: inside(h, o)))
+    return of.select("user_id", "unit_id", F.explode(kept).alias("h")).select("user_id", "unit_id", "h.word").distinct().groupBy("user_id", "word").agg(F.count("*").alias("n_units"))
 
 
 def json_salvage(spark: SparkSession, d: str) -> DataFrame:
