@@ -17,5 +17,7 @@ def session_stream(events: DataFrame, user: str, at: str, unit: str, gap: str =
 
 
 def face_counts(photos: DataFrame) -> DataFrame:
-    """Running number of photos of every face of a stream of photos (complete or update mode)."""
-    return photos.select("user_id", "photo_id", F.explode(F.array_distinct("visible_face_ids")).alias("face_id")).groupBy("user_id", "face_id").agg(F.approx_count_distinct("photo_id", 0.01).alias("n_photos"))
+    """Running number of photos of every face of a stream of photos (complete or update mode), exact: the state keeps every
+    face of every photo, so photos delivered again count once whenever they come."""
+    seen = photos.select("user_id", "photo_id", F.explode(F.array_distinct("visible_face_ids")).alias("face_id")).dropDuplicates(["user_id", "photo_id", "face_id"])
+    return seen.groupBy("user_id", "face_id").agg(F.count("photo_id").alias("n_photos"))

@@ -8,6 +8,7 @@ import pytest
 from facetrail.llm import queries
 from facetrail.operators.albums import bridges
 from facetrail.plans import albums, derivations, search
+from facetrail.streaming.sessions import face_counts
 from tests.conftest import SF
 from tests.test_queries import canon
 
@@ -94,3 +95,17 @@ def test_relation_words_of_any_label(spark, tmp_path):
     spark.createDataFrame([("u", *x) for x in units], "user_id string, unit_id string, caption string").write.parquet(f"{tmp_path}/text_units.parquet")
     got = {r["word"]: r["n_units"] for r in search.relation_words(spark, str(tmp_path)).collect()}
     assert got == {"mother": 2, "mother-in-law": 2, "fiancé": 1, "best friend": 2, "friend": 1}
+
+
+@pytest.mark.parametrize("mode", ["complete", "update"])
+def test_streamed_face_counts_are_exact(spark, tmp_path, mode):
+    kind = "user_id string, photo_id string, visible_face_ids array<string>"
+    rows = [("u", f"p{i}", ["a", "a", "b"] if i % 3 else ["a"]) for i in range(30_011)]
+    spark.createDataFrame(rows + rows[:999], kind).write.parquet(f"{tmp_path}/p")
+    spark.createDataFrame(rows[:7] + [("u", "new", ["b"])], kind).write.mode("append").parquet(f"{tmp_path}/p")
+    stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 3).parquet(f"{tmp_path}/p")
+    q = face_counts(stream).writeStream.outputMode(mode).format("memory").queryName(f"exact_{mode}").option("checkpointLocation", f"{tmp_path}/c").start()
+    q.processAllAvailable()
+    q.stop()
+    got = {r["face_id"]: r["n"] for r in spark.sql(f"select face_id, max(n_photos) as n from exact_{mode} group by face_id").collect()}
+    assert got == {"a": 30_011, "b": sum(1 for i in range(30_011) if i % 3) + 1}
