@@ -1,7 +1,7 @@
 """Mapping of freely typed values to a reference list: a trie of the entries' labels searched with a Levenshtein automaton.
 
-The trie holds a path for every label and other label of an entry, and alias paths made from them: words without their
-vowels, and the initials of labels of three or more words. The automaton of a typed value runs down the trie; its state is
+The trie holds a path for every label and other label of an entry. Aliases made from them, words without their vowels and the
+initials of labels of three or more words, are not in it: they are looked up exactly. The automaton of a typed value runs down the trie; its state is
 the row of edit distances between the value and the path, where a swap of neighbours is one edit, and a branch ends where
 every distance is beyond the largest allowed. The distance allowed depends on the length of the shorter of value and label.
 """
