@@ -90,7 +90,7 @@ def test_bridges_equal_their_sql_with_compact_dates(spark, name):
 
 def test_relation_words_of_any_label(spark, tmp_path):
     entries = [("relation", "mother", ["mom"]), ("relation", "mother-in-law", []), ("relation", "fiancé", None), ("relation", "best friend", ["bff"]), ("relation", "friend", []), ("place", "lobby", [])]
-    spark.createDataFrame(entries, "entry_kind string, entry_label string, other_labels array<string>").write.parquet(f"{tmp_path}/relation_entries.parquet")
+    spark.createDataFrame([(i, *x) for i, x in enumerate(entries)], "entry_id long, entry_kind string, entry_label string, other_labels array<string>").write.parquet(f"{tmp_path}/relation_entries.parquet")
     units = [("1", "Mom and my MOTHER"), ("2", "my mother-in-law"), ("2", "my mother-in-law"), ("3", "mother, mother in law"), ("4", "her fiancé, a best friend in the lobby"), ("5", "a friend of my best friend"), ("6", "smothered"), ("7", None)]
     spark.createDataFrame([("u", *x) for x in units], "user_id string, unit_id string, caption string").write.parquet(f"{tmp_path}/text_units.parquet")
     got = {r["word"]: r["n_units"] for r in search.relation_words(spark, str(tmp_path)).collect()}
