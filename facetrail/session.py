@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,24 +28,48 @@ def build_session(app: str = "facetrail", cpus: int | str = "*", shuffle_partiti
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder.
-
-    A cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests, laptops) a local folder is made.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    have = spark.sparkContext.getCheckpointDir()
-    if have:
-        return have
-    if not named:
-        named = tempfile.mkdtemp(prefix="facetrail-ckpt-")
+    """The shared checkpoint folder that the cluster names in ``spark.checkpoint.dir``, else the one the context has.
+
+    Only a local master gets a folder of its own where neither is set (tests, laptops), which goes with the process; on a
+    cluster that is an error, as a folder of the driver's machine is not there for the executors."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError(f"spark.checkpoint.dir must name a shared folder on the master {master}")
+    named = tempfile.mkdtemp(prefix="facetrail-ckpt-")
+    atexit.register(shutil.rmtree, named, True)
     spark.sparkContext.setCheckpointDir(named)
-    return spark.sparkContext.getCheckpointDir()
+    return named
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the result is written once to the shared folder and survives lost executors."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The rows, written once as a table of the shared folder and read back: the lineage ends there, a lost executor costs
+    nothing of it, and its size is known to the planner, which broadcasts it only below its own threshold."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/facetrail-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._facetrail_path = path
+    return out
+
+
+def _folder(df: DataFrame):
+    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(df._facetrail_path)
+    return path.getFileSystem(conf), path
+
+
+def written_bytes(df: DataFrame) -> int:
+    """Size of what ``cut`` has written."""
+    fs, path = _folder(df)
+    return fs.getContentSummary(path).getLength()
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes what ``cut`` has written; the frame and all that is made from it can't be read any more."""
+    fs, path = _folder(df)
+    fs.delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

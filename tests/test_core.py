@@ -40,6 +40,68 @@ def test_sessions_match_a_plain_scan(spark, partitions):
     assert got == want
 
 
+def many_events(spark, n=20_000, seed=0):
+    """Events of a few busy streams, by hash."""
+    h = lambda k, m: F.pmod(F.xxhash64("id", F.lit(k + seed)), F.lit(m))
+    return spark.range(n).select(F.when(h(1, 3) == 0, "hot").otherwise(F.concat(F.lit("u"), h(2, 5))).alias("user"), F.timestamp_micros(h(3, 40_000_000_000_000) - 5_000_000_000_000).alias("at"), F.lpad("id", 9, "0").alias("id"))
+
+
+def by_windows(events, gap):
+    from pyspark.sql import Window as W
+
+    w = W.partitionBy("user").orderBy("at", "id")
+    us = F.unix_micros("at")
+    marked = events.withColumn("fresh", F.coalesce((us - F.lag(us).over(w) > gap * 1_000_000).cast("int"), F.lit(1)))
+    return marked.withColumn("g", F.sum("fresh").over(w)).groupBy("user", "g").agg(F.min("id").alias("x"), F.count("*").alias("n")).select("user", "n")
+
+
+@pytest.mark.parametrize("gap,stretch", [(2000, 32), (20_000, 2)])
+def test_sessions_in_larger_plans(spark, gap, stretch):
+    a, b = many_events(spark), many_events(spark, 9_000, 9)
+    got = lambda df: df.select("user_id", "n_events")
+    one = lambda e: got(sessions(e, "user", "at", "id", gap, stretch=stretch))
+    want_a, want_b = (sorted(map(tuple, by_windows(e, gap).collect())) for e in (a, b))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
+    try:
+        for parts, coalesce, size in ((4, "true", "64MB"), (13, "true", "10KB")):
+            for k, v in zip(old, (parts, coalesce, size)):
+                spark.conf.set(k, v)
+            assert sorted(map(tuple, one(a).collect())) == want_a
+            both = one(a).withColumn("side", F.lit("a")).unionByName(one(b).withColumn("side", F.lit("b"))).collect()
+            assert [sorted((r[0], r[1]) for r in both if r["side"] == s) for s in "ab"] == [want_a, want_b]
+            total = a.groupBy(F.col("user").alias("user_id")).agg(F.count("*").alias("n"))
+            joined = one(a).join(total, "user_id").collect()
+            assert sorted((r[0], r[1]) for r in joined) == want_a and sum(r["n_events"] for r in joined) == a.count()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_sessions_that_span_stretches(spark):
+    rows = [("u", dt.datetime(1969, 12, 31, 23, 0) + dt.timedelta(seconds=9 * i), f"{i:04d}") for i in range(2000)] + [("u", dt.datetime(1971, 1, 1), "z")]
+    got = sessions(spark.createDataFrame(rows, "user string, at timestamp, id string"), "user", "at", "id", 10, stretch=1).collect()
+    assert sorted((r.first_id, r.last_id, r.n_events) for r in got) == [("0000", "1999", 2000), ("z", "z", 1)]
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error(spark, monkeypatch):
+    from facetrail.session import checkpoint_dir
+
+    context = type("C", (), {"master": "spark://host:7077", "getCheckpointDir": lambda self: None})()
+    session = type("S", (), {"sparkContext": context, "conf": type("K", (), {"get": lambda self, k, d=None: d})()})()
+    with pytest.raises(RuntimeError):
+        checkpoint_dir(session)
+
+
+def test_written_tables_can_be_forgotten(spark):
+    from facetrail.session import cut, forget, written_bytes
+
+    df = cut(spark.range(10))
+    assert df.count() == 10 and written_bytes(df) > 0
+    forget(df)
+    with pytest.raises(Exception):
+        spark.read.parquet(df._facetrail_path).count()
+
+
 def test_sessions_of_nulls_ties_and_nothing(spark):
     schema = "user string, at timestamp, id string, stream string, start string"
     empty = spark.createDataFrame([], schema)
