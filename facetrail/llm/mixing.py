@@ -1,9 +1,9 @@
 """Mixing of sources to target weights.
 
-Hierarchical budgeting: the weights of the leaves make up a tree (a source name may be a path such as
-``domain/language/source``); the wanted size flows from the root to the leaves in proportion to the weights, a leaf takes at
-most ``max_repeats`` times its tokens, and what it cannot take goes to its siblings, then to the siblings of its parent, and
-so on. Each leaf is filled from seeded epochs: every full epoch holds all its records once, the last a prefix, in tokens, of
+Hierarchical budgeting: the weights of the leaves make up a tree. A source may be a path (``domain/source``), and under it are
+its languages, weighed by their tokens to a power below 1, so that small ones aren't drowned; the wanted size flows from the
+root to the leaves in proportion to the weights, a leaf takes at most ``max_repeats`` times its tokens, and what it cannot
+take goes to its siblings (the other languages of the source), then to the siblings of its parent (other sources), and so on. Each leaf is filled from seeded epochs: every full epoch holds all its records once, the last a prefix, in tokens, of
 the records in the order of a seeded hash.
 """
 
@@ -82,20 +82,28 @@ def source_key(column: str = "source"):
     return F.regexp_replace(F.lower(F.trim(F.col(column))), r"[\s\-]+", "_")
 
 
-def measured(documents: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, source, n_tokens), one row per key (a repeated row counts once), written to the shared folder once, as the
+def language_key(column: str = "lang"):
+    """Two or three letters of a language, without case and region; 'und' for anything else."""
+    code = F.regexp_extract(F.lower(F.trim(F.col(column).cast("string"))), r"^([a-z]{2,3})([-_].*)?$", 1)
+    return F.coalesce(F.nullif(code, F.lit("")), F.lit("und"))
+
+
+def measured(documents: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", vocabulary: str = VOCABULARY, language: str = "lang") -> DataFrame:
+    """(doc_id, source, lang, n_tokens), one row per key (a repeated row counts once), written to the shared folder once, as the
     corpus is tokenized only once."""
-    rows = documents.select(F.col(f"`{key}`").alias("doc_id"), source_key(f"`{source}`").alias("source"), F.col(f"`{text}`").alias("text"))
-    counted = count_tokens(rows, ["doc_id", "source"], "text", vocabulary)
-    once = counted.groupBy("doc_id").agg(F.min(F.struct("source", "n_tokens")).alias("r")).select("doc_id", "r.source", "r.n_tokens")
+    lang = language_key(f"`{language}`") if language in documents.columns else F.lit("und")
+    rows = documents.select(F.col(f"`{key}`").alias("doc_id"), source_key(f"`{source}`").alias("source"), lang.alias("lang"), F.col(f"`{text}`").alias("text"))
+    counted = count_tokens(rows, ["doc_id", "source", "lang"], "text", vocabulary)
+    once = counted.groupBy("doc_id").agg(F.min(F.struct("source", "lang", "n_tokens")).alias("r")).select("doc_id", "r.source", "r.lang", "r.n_tokens")
     return cut(once)
 
 
-def budgets(sizes: DataFrame, targets: DataFrame, most_targets: int = 100_000) -> list[tuple]:
-    """(mix_id, source, target_share, max_repeats, wanted, available, budget) of each row of the targets.
+def budgets(sizes: DataFrame, targets: DataFrame, language_exponent: float, most_targets: int = 100_000) -> list[tuple]:
+    """(mix_id, source, lang, target_share, max_repeats, available, budget) of each language of each row of the targets; a
+    source without records has one row without a language.
 
     The targets are a small table; more than ``most_targets`` rows raise an error. Sizes are summed on the cluster and
-    only those of sources that the targets name come to the driver.
+    only those of sources that the targets name come to the driver, one for each of its languages (of two or three letters).
     """
     wanted = (
         targets.select("mix_id", source_key().alias("source"), F.col("target_share").cast("double"), F.col("max_repeats").cast("int"), F.col("total_ratio").cast("double"))
@@ -104,7 +112,7 @@ def budgets(sizes: DataFrame, targets: DataFrame, most_targets: int = 100_000) -
     )
     if len(wanted.limit(most_targets + 1).collect()) > most_targets:
         raise ValueError(f"more than {most_targets} targets")
-    per_source = sizes.where("n_tokens > 0").groupBy("source").agg(F.sum("n_tokens").alias("available"))
+    per_source = sizes.where("n_tokens > 0").groupBy("source", "lang").agg(F.sum("n_tokens").alias("available"))
     corpus = sizes.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
     rows = wanted.join(per_source, "source", "left").collect()
     mixes: dict = {}
@@ -112,22 +120,31 @@ def budgets(sizes: DataFrame, targets: DataFrame, most_targets: int = 100_000) -
         mixes.setdefault(r["mix_id"], []).append(r)
     out = []
     for mix in sorted(mixes):
-        group = sorted(mixes[mix], key=lambda r: r["source"])
-        weights = sum(max(r["target_share"] or 0.0, 0.0) for r in group) or 1.0
+        group = sorted(mixes[mix], key=lambda r: (r["source"], r["lang"] or ""))
+        share = {r["source"]: max(r["target_share"] or 0.0, 0.0) for r in group}
+        weights = sum(share.values()) or 1.0
         total = max((r["total_ratio"] or 0.0) for r in group) * corpus
-        leaves = [(r["source"], max(r["target_share"] or 0.0, 0.0) / weights, float(max(r["max_repeats"] or 0, 0) * (r["available"] or 0))) for r in group]
+        size = lambda r: (r["available"] or 0) ** language_exponent if r["available"] else 0.0
+        of_source: dict = {}
+        for r in group:
+            of_source[r["source"]] = of_source.get(r["source"], 0.0) + size(r)
+        path = lambda r: f"{r['source']}/{r['lang'] or ''}"
+        leaves = [(path(r), share[r["source"]] / weights * (size(r) / of_source[r["source"]] if of_source[r["source"]] else 1.0), float(max(r["max_repeats"] or 0, 0) * (r["available"] or 0))) for r in group]
         got = hierarchical_budgets(leaves, total)
-        out += [(mix, r["source"], r["target_share"], max(r["max_repeats"] or 0, 0), total * leaf[1], r["available"] or 0, round(got[r["source"]])) for r, leaf in zip(group, leaves)]
+        out += [(mix, r["source"], r["lang"], r["target_share"], max(r["max_repeats"] or 0, 0), r["available"] or 0, round(got[path(r)])) for r in group]
     return out
 
 
 def mix_sources(
-    documents: DataFrame, targets: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", vocabulary: str = VOCABULARY, seed: int = 7, rows_per_bucket: int = 50_000
-) -> tuple[DataFrame, DataFrame]:
+    documents: DataFrame, targets: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", vocabulary: str = VOCABULARY, seed: int = 7, rows_per_bucket: int = 50_000,
+    language: str = "lang", language_exponent: float = 0.7,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The mixes and the shares they reach.
 
     First result: mix_id, source, doc_id, copies (1..max_repeats), n_tokens, one row per record taken. Second: mix_id,
-    source, target_share, max_repeats, available_tokens, budget_tokens, actual_tokens, actual_share, n_docs.
+    source, target_share, max_repeats, available_tokens, budget_tokens, actual_tokens, actual_share, n_docs. Third: the same by
+    language, mix_id, source, lang, available_tokens, budget_tokens, actual_tokens, n_docs. ``language_exponent`` 1 leaves the
+    languages of a source as they are, 0 makes them equal; a source takes the same either way.
 
     Records with a null or unknown source, and those without tokens, are in no mix but count for the size of the corpus.
     A source without records gets nothing; its share goes to its siblings. Null shares, repeats or ratios count as 0,
@@ -137,40 +154,44 @@ def mix_sources(
     bucket where a leaf's budget ends, so no leaf, however large, is ever sorted in one task.
     """
     spark = documents.sparkSession
-    sizes = measured(documents, key, source, text, vocabulary)
-    plan = budgets(sizes, targets)
+    sizes = measured(documents, key, source, text, vocabulary, language)
+    plan = budgets(sizes, targets, language_exponent)
     n = max(1, sizes.count())
     buckets = 1 << max(6, (n // rows_per_bucket).bit_length())
-    schema = "mix_id int, source string, target_share double, max_repeats int, wanted double, available long, budget long"
-    leaves = spark.createDataFrame([(int(m), s, t, r, float(w), int(a), int(b)) for m, s, t, r, w, a, b in plan], schema)
+    schema = "mix_id int, source string, lang string, target_share double, max_repeats int, available long, budget long"
+    leaves = spark.createDataFrame([(int(m), s, g, t, r, int(a), int(b)) for m, s, g, t, r, a, b in plan], schema)
     # full epochs, and what is left for the last one; a leaf with nothing left takes no prefix
     leaves = leaves.withColumn("epochs", F.when(F.col("available") > 0, F.floor(F.col("budget") / F.col("available"))).otherwise(0).cast("int")).withColumn("rest", F.col("budget") - F.col("epochs") * F.col("available"))
-    # the plan is as small as the targets, whose number budgets() has checked
-    members = sizes.where("n_tokens > 0").join(F.broadcast(leaves.where("budget > 0").select("mix_id", "source", "epochs", "rest")), "source")
+    leaf = ["mix_id", "source", "lang"]
+    # the plan is as small as the targets, whose number budgets() has checked, and their languages
+    members = sizes.where("n_tokens > 0").join(F.broadcast(leaves.where("budget > 0").select(*leaf, "epochs", "rest")), ["source", "lang"])
     order = F.xxhash64(F.lit(seed), "mix_id", "epochs", "doc_id")
     members = members.withColumn("h", order).withColumn("bucket", F.shiftrightunsigned("h", 64 - buckets.bit_length() + 1).cast("long"))
-    sums = members.where("rest > 0").groupBy("mix_id", "source", "rest", "bucket").agg(F.sum("n_tokens").alias("s"))
-    run = W.partitionBy("mix_id", "source").orderBy("bucket")
+    sums = members.where("rest > 0").groupBy(*leaf, "rest", "bucket").agg(F.sum("n_tokens").alias("s"))
+    run = W.partitionBy(*leaf).orderBy("bucket")
     edge = (
         sums.withColumn("before", F.sum("s").over(run) - F.col("s"))
         .where("before < rest and before + s >= rest")
-        .select("mix_id", "source", F.col("bucket").alias("edge"), (F.col("rest") - F.col("before")).alias("room"))
+        .select(*leaf, F.col("bucket").alias("edge"), (F.col("rest") - F.col("before")).alias("room"))
     )
     # one row per row of the plan
-    placed = members.join(F.broadcast(edge), ["mix_id", "source"], "left")
-    inside = W.partitionBy("mix_id", "source").orderBy("h", "doc_id")
+    placed = members.join(F.broadcast(edge), leaf, "left")
+    inside = W.partitionBy(*leaf).orderBy("h", "doc_id")
     at_edge = placed.where("bucket = edge").withColumn("before", F.sum("n_tokens").over(inside.rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("n_tokens"))
     # the record at the end is taken if that brings the leaf nearer to its budget
-    taken_at_edge = at_edge.select("mix_id", "source", "doc_id", "n_tokens", (F.col("epochs") + (F.col("before") + F.col("n_tokens") / 2 <= F.col("room")).cast("int")).alias("copies"))
-    elsewhere = placed.where("edge is null or bucket <> edge").select("mix_id", "source", "doc_id", "n_tokens", (F.col("epochs") + F.coalesce((F.col("bucket") < F.col("edge")).cast("int"), F.lit(0))).alias("copies"))
-    mix = elsewhere.unionByName(taken_at_edge).where("copies > 0").select("mix_id", "source", "doc_id", F.col("copies").cast("int").alias("copies"), "n_tokens")
-    reached = mix.groupBy("mix_id", "source").agg(F.sum(F.col("copies") * F.col("n_tokens")).alias("actual_tokens"), F.count("*").alias("n_docs"))
-    whole = reached.groupBy("mix_id").agg(F.sum("actual_tokens").alias("whole"))
-    shares = (
-        leaves.join(reached, ["mix_id", "source"], "left").join(whole, "mix_id", "left")
-        .select(
-            "mix_id", "source", "target_share", "max_repeats", F.col("available").alias("available_tokens"), F.col("budget").alias("budget_tokens"),
-            F.coalesce("actual_tokens", F.lit(0)).alias("actual_tokens"), F.coalesce(F.col("actual_tokens") / F.col("whole"), F.lit(0.0)).alias("actual_share"), F.coalesce("n_docs", F.lit(0)).alias("n_docs"),
-        )
-    )
-    return mix, shares
+    taken_at_edge = at_edge.select(*leaf, "doc_id", "n_tokens", (F.col("epochs") + (F.col("before") + F.col("n_tokens") / 2 <= F.col("room")).cast("int")).alias("copies"))
+    elsewhere = placed.where("edge is null or bucket <> edge").select(*leaf, "doc_id", "n_tokens", (F.col("epochs") + F.coalesce((F.col("bucket") < F.col("edge")).cast("int"), F.lit(0))).alias("copies"))
+    taken = elsewhere.unionByName(taken_at_edge).where("copies > 0")
+    mix = taken.select("mix_id", "source", "doc_id", F.col("copies").cast("int").alias("copies"), "n_tokens")
+    reached = taken.groupBy(*leaf).agg(F.sum(F.col("copies") * F.col("n_tokens")).alias("actual"), F.count("*").alias("docs"))
+    by_leaf = leaves.join(reached, leaf, "left").select(
+        *leaf, "target_share", "max_repeats", F.col("available").alias("available_tokens"), F.col("budget").alias("budget_tokens"), F.coalesce("actual", F.lit(0)).alias("actual_tokens"), F.coalesce("docs", F.lit(0)).alias("n_docs")
+    )
+    shares = by_leaf.groupBy("mix_id", "source").agg(
+        F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"), *[F.sum(c).alias(c) for c in ("available_tokens", "budget_tokens", "actual_tokens", "n_docs")]
+    )
+    whole = F.sum("actual_tokens").over(W.partitionBy("mix_id"))
+    shares = shares.select(
+        "mix_id", "source", "target_share", "max_repeats", "available_tokens", "budget_tokens", "actual_tokens", F.coalesce(F.col("actual_tokens") / F.nullif(whole, F.lit(0)), F.lit(0.0)).alias("actual_share"), "n_docs"
+    )
+    return mix, shares, by_leaf.where("lang is not null").drop("target_share", "max_repeats")

@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from facetrail.llm.components import components
-from facetrail.llm.metricjoin import radius_join
+from facetrail.llm.metricjoin import cell_counts, radius_join
 from facetrail.session import cut, spread
 
 #: Nicknames and the names they stand for.
@@ -50,12 +51,15 @@ LETTERS = str.maketrans({"ł": "l", "ø": "o", "đ": "d", "ß": "ss", "æ": "ae"
 LOOKALIKES = str.maketrans("0134578@$", "oleastbas")
 
 FULL, INITIAL, FAMILY, GIVEN = "F", "I", "L", "G"
+#: Scripts whose signs are syllables or words, written without blanks, family name first.
+SYLLABLES = re.compile("[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\uf900-\ufaff]")
 
 
 def plain(text: str) -> str:
-    """Lower case letters without accents."""
+    """Lower case letters of any script, without accents."""
     text = unicodedata.normalize("NFKD", text.lower().translate(LETTERS))
-    return re.sub(r"[^a-z]", "", "".join(c for c in text if not unicodedata.combining(c)).translate(LOOKALIKES))
+    text = "".join(c for c in text if not unicodedata.combining(c)).translate(LOOKALIKES)
+    return text if text.isascii() and text.isalpha() else "".join(c for c in text if unicodedata.category(c) in ("Ll", "Lo"))
 
 
 def words_of(surface: str) -> tuple[list[str], bool]:
@@ -93,7 +97,15 @@ def read(surface: str | None) -> tuple[str, str, str, str] | None:
     name. Given names are those that nicknames stand for; of a double family name the first counts."""
     if not surface or not surface.strip():
         return None
+    return _read_once(surface) if len(surface) < 200 else _read(surface)
+
+
+def _read(surface: str) -> tuple[str, str, str, str] | None:
     words, marked = words_of(surface)
+    if len(words) == 1 and 2 <= len(words[0]) <= 4 and all(map(SYLLABLES.match, words[0])):
+        words, marked = [words[0][1:], words[0][0]], True
+    # a single syllable sign is a name of its own
+    least = lambda w, n: 1 if SYLLABLES.search(w) else n
     generation = formal = familiar = ""
     rest = []
     for w in words:
@@ -110,10 +122,10 @@ def read(surface: str | None) -> tuple[str, str, str, str] | None:
             rest.append(w)
     if not rest:
         return None
-    short = lambda w: bool(re.fullmatch(r"(?:\w\.?){1,3}", w)) and (w.endswith(".") or len(w) == 1)
+    short = lambda w: bool(re.fullmatch(r"(?:\w\.?){1,3}", w)) and (w.endswith(".") or len(w) == 1) and not SYLLABLES.match(w)
     if len(rest) == 1:
         name = plain(rest[0].split("-")[0] if len(rest[0].split("-")[0]) > 2 else rest[0])
-        if len(name) < 2:
+        if len(name) < least(rest[0], 2):
             return None
         if formal and not familiar:
             return FAMILY, "", name, generation
@@ -134,17 +146,20 @@ def read(surface: str | None) -> tuple[str, str, str, str] | None:
             tail = tail[-1:] if len(plain(tail[-1])) > 2 and all(len(plain(w)) > 3 for w in tail) else tail
     family = "".join(tail)
     family = plain(family.split("-")[0] if len(family.split("-")[0]) > 2 else family)
-    if len(family) < 2 or not head:
+    if len(family) < least("".join(tail), 2) or not head:
         return None
     if short(first):
         return INITIAL, head[0], family, generation
     if first.endswith(".") and len(head) >= 2:
         return INITIAL, head, family, generation
-    if len(head) < 2:
+    if len(head) < least(first, 2):
         return INITIAL, head, family, generation
     return FULL, NICKNAMES.get(head, head), family, generation
 
 
+_read_once = lru_cache(100_000)(_read)
+
+
 RADIUS = 2
 #: A spelling is taken for a name of its own, not for an error, if at least so many albums have it and it is at least so
 #: often met as a share of the other spelling.
@@ -204,22 +219,35 @@ def sound(name: Column) -> Column:
     return name
 
 
-def near_names(full: DataFrame) -> DataFrame:
-    """Pairs of points (user_id, g1, f1, g2, f2) that may be one name: within the radius, near enough in both parts for
-    their lengths, and not two spellings that are both established as names of their own."""
-    cell = F.concat_ws("\x1e", F.col("user_id"), F.col("generation"))
-    pairs = radius_join(full.select(cell.alias("cell"), "given", "family").distinct(), RADIUS)
+def _same_name(found: DataFrame, full: DataFrame) -> DataFrame:
+    """Pairs of points that may be one name: near enough in both parts for their lengths, and not two spellings that are both
+    established as names of their own."""
     by_length = lambda a, b: F.expr(f"case when least(length({a}), length({b})) < 3 then 0 when least(length({a}), length({b})) < 5 then 1 else 2 end")
-    pairs = pairs.where((F.col("dg") <= by_length("g1", "g2")) & (F.col("df") <= by_length("f1", "f2")))
-    met = {part: full.select("user_id", part).distinct().groupBy(part).agg(F.count("*").alias("n")).where(f"n >= {ESTABLISHED}") for part in ("given", "family")}
+    pairs = found.where((F.col("dg") <= by_length("g1", "g2")) & (F.col("df") <= by_length("f1", "f2")))
+    spelled = full.select("user_id", F.explode(F.array(*[F.struct(F.lit(p).alias("part"), F.col(p).alias("name")) for p in ("given", "family")])).alias("x"))
+    met = cut(spelled.distinct().groupBy("x.part", "x.name").agg(F.count("*").alias("n")).where(f"n >= {ESTABLISHED}"))
     for part, one, two in (("given", "g1", "g2"), ("family", "f1", "f2")):
         for k, c in ((1, one), (2, two)):
-            pairs = pairs.join(met[part].select(F.col(part).alias(c), F.col("n").alias(f"{part}{k}")), c, "left")
+            pairs = pairs.join(met.where(F.col("part") == part).select(F.col("name").alias(c), F.col("n").alias(f"{part}{k}")), c, "left")
     for part, one, two, d in (("given", "g1", "g2", "dg"), ("family", "f1", "f2", "df")):
         n1, n2 = F.col(f"{part}1"), F.col(f"{part}2")
         own = n1.isNotNull() & n2.isNotNull() & (F.least(n1, n2) >= F.lit(SHARE) * F.greatest(n1, n2))
         pairs = pairs.where((F.col(d) == 0) | ~own | (sound(F.col(one)) == sound(F.col(two))))
-    return pairs.select("cell", "g1", "f1", "g2", "f2", "dg", "df")
+    return pairs.select("cell", "g1", "f1", "g2", "f2")
+
+
+def joined(*parts) -> Column:
+    return F.concat_ws("\x1e", *parts)
+
+
+def full_space(full: DataFrame) -> DataFrame:
+    """Points of full names: one space per album and generation."""
+    return full.select(joined(F.lit("F"), "user_id", "generation").alias("cell"), "given", "family", F.lit(RADIUS).alias("radius")).distinct()
+
+
+def pivot_figures(clusters: DataFrame, persons: DataFrame) -> DataFrame:
+    """(cell, names, pivots, visits) of the spaces of full names, as ``cell_counts`` gives them."""
+    return cell_counts(full_space(readings(records(clusters, persons)).where(F.col("kind") == FULL)).drop("radius"), RADIUS)
 
 
 def same_person(clusters: DataFrame, persons: DataFrame, units: DataFrame | None = None) -> DataFrame:
@@ -228,58 +256,56 @@ def same_person(clusters: DataFrame, persons: DataFrame, units: DataFrame | None
     With ``units``, the distinct surfaces of the album's texts are records too, with '~' before the surface as their id.
 
     Null and blank surfaces are not read, records without a readable name are persons of their own; repeated rows count
-    once; persons of different albums are different. Extra columns don't matter."""
+    once; persons of different albums are different. Extra columns don't matter.
+
+    Full names and, with radius 1, what records without one may be short for are joined in one radius join; components are
+    found among the points of full names, not among records."""
     recs = records(clusters, persons)
     if units is not None:
         recs = recs.unionByName(surface_records(units, clusters))
     read_ = cut(readings(recs))
     full = read_.where(F.col("kind") == FULL)
-    point = lambda g, f, m, u: F.concat_ws("\x1e", F.lit("~"), F.col(u), F.col(g), F.col(f), F.col(m))
-    rec_node = F.concat_ws("\x1e", F.lit("!"), F.col("user_id"), F.col("rec"))
-    pairs = near_names(full).select(F.split("cell", "\x1e").alias("c"), "g1", "f1", "g2", "f2").select(F.col("c")[0].alias("user_id"), F.coalesce(F.get("c", F.lit(1)), F.lit("")).alias("generation"), "g1", "f1", "g2", "f2")
-    edges = full.select(rec_node.alias("u"), point("given", "family", "generation", "user_id").alias("v")).unionByName(
-        pairs.select(point("g1", "f1", "generation", "user_id").alias("u"), point("g2", "f2", "generation", "user_id").alias("v"))
-    )
-    roots = components(edges)  # its last round is written already
-    parts = F.split("node", "\x1e")
-    strong = roots.where(F.col("node").startswith("!")).select(parts[1].alias("user_id"), parts[2].alias("rec"), "root")
-    weak = cut(read_.join(strong.select("user_id", "rec"), ["user_id", "rec"], "left_anti"))
-    # names a weak reading may mean: of the same album, with a near family or the same given name
-    known = cut(full.join(strong, ["user_id", "rec"]).select("user_id", "given", "family", "generation", "root").distinct())
-    forms = lambda df, extra: (
-        df.where(F.col("family") != "").select(F.concat_ws("\x1e", F.col("user_id"), F.lit("f")).alias("cell"), F.substring("given", 1, 1).alias("given"), "family", *extra)
-        .unionByName(df.where(F.col("family") != "").select(F.concat_ws("\x1e", F.col("user_id"), F.lit("l")).alias("cell"), F.lit("").alias("given"), "family", *extra))
-        .unionByName(df.where(F.col("given") != "").select(F.concat_ws("\x1e", F.col("user_id"), F.lit("g")).alias("cell"), "given", F.lit("").alias("family"), *extra))
-    )
-    kind_cell = F.when(F.col("kind") == INITIAL, "f").when(F.col("kind") == FAMILY, "l").otherwise("g")
-    asked = weak.select(
-        F.concat_ws("\x1e", F.col("user_id"), kind_cell).alias("cell"), F.when(F.col("kind") == INITIAL, F.substring("given", 1, 1)).when(F.col("kind") == FAMILY, "").otherwise(F.col("given")).alias("given"), "family",
-        "user_id", "rec", "kind", F.col("given").alias("beginning"), F.col("generation").alias("mark"),
-    )
-    targets = forms(known.withColumn("whole", F.col("given")).withColumn("gen", F.col("generation")), ["whole", "gen", "root"]).join(asked.select("cell").distinct(), "cell", "left_semi")
+    weak = read_.join(full.select("user_id", "rec").distinct(), ["user_id", "rec"], "left_anti")
+    known = full.select("user_id", "given", "family", "generation").distinct()
+    # what a weak reading may mean: names of the same album with a near family or the same given name
+    form = lambda df, kind, given, family, *extra: df.select(joined(F.lit(kind), "user_id").alias("cell"), given.alias("g"), family.alias("f"), *extra)
+    begin, none = F.substring("given", 1, 1), F.lit("")
+    named = ["user_id", F.col("given").alias("whole"), "generation", "family"]
+    targets = form(known, INITIAL, begin, F.col("family"), *named).unionByName(form(known, FAMILY, none, F.col("family"), *named)).unionByName(form(known, GIVEN, F.col("given"), none, *named))
+    given = F.when(F.col("kind") == INITIAL, begin).when(F.col("kind") == FAMILY, none).otherwise(F.col("given"))
+    asked = cut(weak.select(joined("kind", "user_id").alias("cell"), given.alias("g"), F.col("family").alias("f"), "user_id", "rec", "kind", F.col("given").alias("beginning"), F.col("generation").alias("mark")))
+    targets = targets.join(asked.select("cell").distinct(), "cell", "left_semi")
+    space = targets.select("cell", "g", "f").unionByName(asked.select("cell", "g", "f")).distinct().select("cell", F.col("g").alias("given"), F.col("f").alias("family"), F.lit(1).alias("radius"))
+    found = radius_join(full_space(full).unionByName(space))
+    is_full = F.col("cell").startswith(FULL + "\x1e")
+    # persons of full names: components of points that are one name, or names of one record
+    point = lambda g, f: joined("user_id", "generation", g, f)
+    c = F.split("cell", "\x1e")
+    pairs = _same_name(found.where(is_full), full).select(F.get(c, F.lit(1)).alias("user_id"), F.coalesce(F.get(c, F.lit(2)), F.lit("")).alias("generation"), "g1", "f1", "g2", "f2")
+    of_record = full.groupBy("user_id", "rec").agg(F.array_sort(F.collect_set(point("given", "family"))).alias("p")).where("size(p) > 1")
+    edges = pairs.select("user_id", point("g1", "f1").alias("u"), point("g2", "f2").alias("v")).unionByName(of_record.select("user_id", F.col("p")[0].alias("u"), F.explode("p").alias("v")))
+    roots = components(edges, "user_id").select(F.col("node").alias("point"), "root")
+    rooted = known.withColumn("point", point("given", "family")).join(roots, "point", "left").select("user_id", "given", "family", "generation", F.coalesce("root", "point").alias("root"))
+    strong = full.join(rooted, ["user_id", "given", "family", "generation"]).groupBy("user_id", "rec").agg(F.min("root").alias("root"))
     # a form that several persons share stands for none of them: their least and greatest root tell
-    targets = cut(targets.groupBy("cell", "given", "family", "whole", "gen").agg(F.min("root").alias("root"), F.max("root").alias("other")))
-    space = targets.select("cell", "given", "family").unionByName(asked.select("cell", "given", "family")).distinct()
-    close = radius_join(space, 1).where("dg = 0 or not cell like '%\x1ef'")
-    both = close.select("cell", "g1", "f1", "g2", "f2", (F.col("dg") + F.col("df")).alias("d")).unionByName(close.select("cell", F.col("g2").alias("g1"), F.col("f2").alias("f1"), F.col("g1").alias("g2"), F.col("f1").alias("f2"), (F.col("dg") + F.col("df")).alias("d")))
-    same = space.select("cell", F.col("given").alias("g1"), F.col("family").alias("f1"), F.col("given").alias("g2"), F.col("family").alias("f2"), F.lit(0).alias("d"))
-    met = both.unionByName(same)
-    hits = (
-        asked.join(met, (asked["cell"] == met["cell"]) & (asked["given"] == met["g1"]) & (asked["family"] == met["f1"])).select(asked["cell"], "g2", "f2", "d", "user_id", "rec", "kind", "beginning", "mark")
-        .join(targets.select("cell", F.col("given").alias("g2"), F.col("family").alias("f2"), "whole", "gen", "root", "other"), ["cell", "g2", "f2"])
-        .where(f"gen = mark and (kind <> '{INITIAL}' or startswith(whole, beginning))")
-    )
+    meant = targets.join(rooted.withColumnRenamed("given", "whole"), ["user_id", "whole", "family", "generation"]).groupBy("cell", "g", "f", "whole", "generation").agg(F.min("root").alias("root"), F.max("root").alias("other"))
+    close = found.where(~is_full & ((F.col("dg") == 0) | ~F.col("cell").startswith(INITIAL + "\x1e"))).withColumn("d", F.col("dg") + F.col("df"))
+    turned = close.select("cell", F.col("g2").alias("g1"), F.col("f2").alias("f1"), F.col("g1").alias("g2"), F.col("f1").alias("f2"), "d")
+    near = close.select("cell", "g1", "f1", "g2", "f2", "d").unionByName(turned)
+    ask = asked.select("cell", F.col("g").alias("g1"), F.col("f").alias("f1"), "user_id", "rec", "kind", "beginning", "mark")
+    met = ask.join(near, ["cell", "g1", "f1"]).drop("g1", "f1").unionByName(ask.withColumnsRenamed({"g1": "g2", "f1": "f2"}).withColumn("d", F.lit(0)))
+    hits = met.withColumnsRenamed({"g2": "g", "f2": "f"}).join(meant, ["cell", "g", "f"]).where(f"generation = mark and (kind <> '{INITIAL}' or startswith(whole, beginning))")
     # the strongest kind of reading, then the nearest names; tied only if one person is left
     order = F.struct(F.when(F.col("kind") == INITIAL, 0).when(F.col("kind") == FAMILY, 1).otherwise(2).alias("k"), "d")
-    best = hits.withColumn("best", F.min(order).over(W.partitionBy("user_id", "rec"))).where(order == F.col("best"))
-    tied = cut(best.groupBy("user_id", "rec").agg(F.min("root").alias("root"), F.max("other").alias("other")).where("root = other").select("user_id", "rec", "root"))
+    best = hits.groupBy("user_id", "rec", order.alias("o")).agg(F.min("root").alias("root"), F.max("other").alias("other")).groupBy("user_id", "rec").agg(F.min_by(F.struct("root", "other"), "o").alias("b"))
+    tied = best.where("b.root = b.other").select("user_id", "rec", "b.root")
     # weak records that read alike and fit nobody are one person
-    left = weak.join(tied.select("user_id", "rec"), ["user_id", "rec"], "left_anti").where(F.col("kind") == INITIAL)
-    alone = left.groupBy("user_id", "rec").agg(F.min(F.concat_ws("\x1e", F.lit("~"), "user_id", F.substring("given", 1, 1), "family", "generation")).alias("root"))
-    every = strong.unionByName(tied).unionByName(alone)
-    named = every.withColumn("person", F.min("rec").over(W.partitionBy("user_id", "root"))).select("user_id", "rec", "person")
-    rest = recs.select("user_id", "rec").distinct().join(named, ["user_id", "rec"], "left_anti").withColumn("person", F.col("rec"))
-    return named.unionByName(rest)
+    alone = asked.where(F.col("kind") == INITIAL).groupBy("user_id", "rec").agg(F.min(joined(F.lit("~"), "user_id", "g", "f", "mark")).alias("alone"))
+    every = strong.unionByName(alone.join(tied, ["user_id", "rec"], "full").select("user_id", "rec", F.coalesce("root", "alone").alias("root")))
+    root = F.coalesce("root", joined(F.lit("!"), "user_id", "rec"))
+    whole = cut(recs.select("user_id", "rec").distinct().join(every, ["user_id", "rec"], "left").select("user_id", "rec", root.alias("root")))
+    least = whole.groupBy("user_id", "root").agg(F.min("rec").alias("person"))
+    return whole.join(least, ["user_id", "root"]).select("user_id", "rec", "person")
 
 
 def linked_records(clusters: DataFrame, persons: DataFrame) -> DataFrame:

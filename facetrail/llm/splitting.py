@@ -21,6 +21,8 @@ from facetrail.llm import bpe
 from facetrail.llm.tokens import VOCABULARY, vocabulary_path
 
 WORD, SENTENCE, PARAGRAPH = 1, 2, 3
+#: The smallest limit: a character takes up to four tokens, and a piece can't hold part of one.
+LEAST_LIMIT = 4
 #: Signs that end a sentence, and those that may close it.
 ENDS, CLOSES = tuple(".!?…。！？"), "\"'”’»)]}"
 
@@ -35,8 +37,9 @@ def word_traits(word: bytes) -> tuple[int, bool, bool, int]:
     return (SENTENCE if bare.rstrip(CLOSES).endswith(ENDS) else WORD), text[0].isspace(), False, 0
 
 
-def boundaries(enc: bpe.Encoded) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Strength (0..3) and legality of every token position of a slice, and the byte at which each token starts."""
+def boundaries(enc: bpe.Encoded) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Strength (0..3) and legality of every token position of a slice, whether it cuts no character, and the byte at which
+    each token starts."""
     coder = enc.bpe
     ids = enc.ids()
     n = len(ids)
@@ -65,14 +68,17 @@ def boundaries(enc: bpe.Encoded) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     head = data[np.minimum(at[:-1], max(len(data) - 1, 0))] if n else np.zeros(0, np.uint8)
     legal = np.ones(n + 1, bool)
     legal[:-1] = (head & 0xC0) != 0x80
-    # inside a word, a piece must not begin with an apostrophe: alone, it would be read as a contraction
+    whole = legal.copy()
+    # inside a word, a piece must not begin with an apostrophe and a letter: alone, it would be read as a contraction
     inside = np.ones(n + 1, bool)
     inside[enc.word_token0] = False
-    legal[:-1] &= ~(inside[:-1] & (head == 0x27))
-    return strength, legal, at
+    follows = data[np.minimum(at[:-1] + 1, max(len(data) - 1, 0))] if n else head
+    letter = ((follows | 0x20) >= 0x61) & ((follows | 0x20) <= 0x7A)
+    legal[:-1] &= ~(inside[:-1] & (head == 0x27) & letter)
+    return strength, legal, whole, at
 
 
-def cut_positions(text_token0: np.ndarray, strength: np.ndarray, legal: np.ndarray, max_tokens: int, overlap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def cut_positions(text_token0: np.ndarray, strength: np.ndarray, legal: np.ndarray, whole: np.ndarray, max_tokens: int, overlap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, first token, end token) of all pieces of the texts with more than ``max_tokens`` tokens, in order."""
     counts = np.diff(text_token0)
     long = np.flatnonzero(counts > max_tokens)
@@ -83,10 +89,10 @@ def cut_positions(text_token0: np.ndarray, strength: np.ndarray, legal: np.ndarr
     base = np.zeros(len(long) + 1, np.int64)
     np.cumsum(width, out=base[1:])
     source = bpe.spans(text_token0[long], width)
-    level, lawful = strength[source].copy(), legal[source].copy()
+    level, lawful, unbroken = strength[source].copy(), legal[source].copy(), whole[source].copy()
     first, last = np.repeat(base[:-1], width), np.repeat(base[1:] - 1, width)
     where = np.arange(len(source), dtype=np.int64)
-    lawful[base[:-1]] = lawful[base[1:] - 1] = True
+    lawful[base[:-1]] = lawful[base[1:] - 1] = unbroken[base[:-1]] = unbroken[base[1:] - 1] = True
     level[base[:-1]] = level[base[1:] - 1] = 0
     level[~lawful] = 0
     upto = lambda mask: np.maximum.accumulate(np.where(mask, where, -1))
@@ -101,9 +107,12 @@ def cut_positions(text_token0: np.ndarray, strength: np.ndarray, legal: np.ndarr
             step = np.where((step < 0) & (far > floor), far, step)
     hard = legal_upto[limit]
     step = np.where(step < 0, np.where(hard > where, hard, -1), step)
-    # no legal position in reach: the next legal one, beyond the limit
-    ahead = np.minimum.accumulate(np.where(lawful, where, len(source))[::-1])[::-1]
-    step = np.where(step < 0, ahead[np.minimum(where + 1, last)], step)
+    # no such position in reach, or none beyond the end of the piece before: then the piece starts there, without an overlap,
+    # and ends before an apostrophe if need be. A character takes four tokens at most, so within LEAST_LIMIT there is always a
+    # position that breaks none
+    stuck = step < 0
+    start = np.where(stuck, where, start)
+    step = np.where(stuck, upto(unbroken)[np.minimum(where + max_tokens, last)], step)
     step = np.where(limit >= last, last, step)
     # pointer doubling
     reached = np.zeros(len(source), bool)
@@ -136,8 +145,8 @@ def split_texts(
     tokens first_token..end_token of the text, so its size is at most max_tokens (encoded alone it has as many tokens, or fewer
     where white space at its end is read together); pieces with the overlap taken off make up
     the text. Texts within the limit, null and empty ones give no piece. Overlaps are exact in tokens, up to 3 tokens more
-    where a cut would break a character. Settings with a null or no positive limit are left out, the overlap counts as
-    0..max_tokens - 1, repeated settings count once; rows with repeated keys are split each. The settings are a small table,
+    where a cut would break a character, and none where the limit leaves no room for one. Settings with a null or no positive limit are left out, the overlap counts as
+    0..max_tokens - 1, repeated settings count once, a limit below LEAST_LIMIT is an error; rows with repeated keys are split each. The settings are a small table,
     read by the driver; more than ``most_settings`` raise an error.
     """
     clean = (
@@ -146,6 +155,8 @@ def split_texts(
     )
     if len(clean) > most_settings:
         raise ValueError(f"more than {most_settings} settings")
+    if any(r[1] < LEAST_LIMIT for r in clean):
+        raise ValueError(f"a piece can't be held to fewer than {LEAST_LIMIT} tokens: one character may take so many")
     wanted = sorted(((r[0], r[1], min(max(r[2], 0), r[1] - 1)) for r in clean), key=lambda s: (str(s[0]), s))
     path = vocabulary_path(vocabulary)
     rows = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
@@ -161,11 +172,11 @@ def split_texts(
                 if not wanted or not len(enc.code):
                     continue
                 counts = enc.counts()
-                strength, legal, at = boundaries(enc)
+                strength, legal, whole, at = boundaries(enc)
                 for setting, most, overlap in wanted:
                     if counts.max() <= most:
                         continue
-                    of, begin, end = cut_positions(enc.text_token0, strength, legal, most, overlap)
+                    of, begin, end = cut_positions(enc.text_token0, strength, legal, whole, most, overlap)
                     if not len(of):
                         continue
                     token0 = enc.text_token0[of]

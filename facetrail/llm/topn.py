@@ -7,16 +7,19 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def top_n(df: DataFrame, groups: list[str], order: list[Column], n: int, spread: list[str], subgroups: int = 32, rank: str = "rank") -> DataFrame:
+def top_n(df: DataFrame, groups: list[str], order: list[Column], n: int, spread: list[str], subgroups: int | None = None, rank: str = "rank") -> DataFrame:
     """The first ``n`` rows of every group by ``order``, with their rank from 1.
 
-    Stage one hashes ``spread`` into subgroups, ranks and keeps n in each; stage two ranks the survivors, at most
-    n * subgroups of a group however large it is. ``order`` must end in columns that are unique within a group, which makes
+    Stage one hashes ``spread`` into subgroups, as many as the session shuffles into unless told, so that the largest group may
+    take all tasks; it ranks and keeps n in each, and only these of every task are shuffled. Stage two ranks the survivors,
+    at most n * subgroups of a group however large it is. ``order`` must end in columns that are unique within a group, which makes
     the result the same on every run; rows that still tie share no rank, any of them may come first. Groups with null
     columns are groups of their own, nulls sort as ``order`` says. An empty table gives an empty result; n < 1 is an error.
     """
     if n < 1:
         raise ValueError("n must be at least 1")
+    if subgroups is None:
+        subgroups = max(32, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     salt = "__subgroup"
     part = W.partitionBy(*groups, salt).orderBy(*order)
     whole = W.partitionBy(*groups).orderBy(*order)

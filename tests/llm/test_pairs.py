@@ -4,7 +4,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from facetrail.llm.canon import Trie, map_values, resolve
+from facetrail.llm import canon, metricjoin
+from facetrail.llm.canon import Trie, candidates, map_values, resolve
 from facetrail.llm.components import components
 from facetrail.llm.cooccur import associations, pair_counts
 from facetrail.llm.metricjoin import damerau_levenshtein, radius_join
@@ -58,35 +59,88 @@ def test_pair_counts_with_huge_baskets(spark, chunk):
 ENTRIES = [(1, "relation", "brother", ["bro"]), (2, "relation", "mother-in-law", []), (3, "relation", "great-uncle", None), (4, "relation", "fiancé", []), (5, "category", "family", ["kin"]), (6, "relation", "next-door neighbor", [])]
 
 
-def test_trie_finds_what_a_plain_search_finds():
-    trie = Trie([(e, a, b or []) for e, _, a, b in ENTRIES])
-    rng = random.Random(3)
-    paths = {p for label, _ in trie.labels for p in (label, label.replace(" ", ""))}
+def osa(a, b):
+    d = {(i, j): i + j for i in range(len(a) + 1) for j in range(len(b) + 1) if not i or not j}
+    for i, j in itertools.product(range(1, len(a) + 1), range(1, len(b) + 1)):
+        d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+        if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+            d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+    return d[len(a), len(b)]
 
-    def osa(a, b):
-        d = {(i, j): i + j for i in range(len(a) + 1) for j in range(len(b) + 1) if not i or not j}
-        for i, j in itertools.product(range(1, len(a) + 1), range(1, len(b) + 1)):
-            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
-            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
-                d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
-        return d[len(a), len(b)]
 
-    from facetrail.llm.canon import limit
+def paths_of(entries):
+    """(path, kind, entry): labels with and without blanks, words without vowels, initials."""
+    out = set()
+    for e, _, label, others in entries:
+        for text in {canon.fold(x) for x in [label, *(others or [])] if x}:
+            joined = text.replace(" ", "")
+            out |= {(text, canon.LABEL, e), (joined, canon.LABEL, e)}
+            if len(canon.skeleton(joined)) >= 3:
+                out.add((canon.skeleton(joined), canon.SKELETON, e))
+            if text.count(" ") >= 2:
+                out.add(("".join(w[0] for w in text.split()), canon.INITIALS, e))
+    return out
 
+
+def test_trie_finds_what_a_plain_search_finds():
+    trie = Trie([(e, a, b or []) for e, _, a, b in ENTRIES])
+    rng = random.Random(3)
+    paths = paths_of(ENTRIES)
+    words = ["", "b", "x" * 500]
     for _ in range(300):
-        word = list(rng.choice(sorted(paths)))
+        word = list(rng.choice(sorted(p for p, _, _ in paths)))
         for _ in range(rng.randrange(4)):
             word.insert(rng.randrange(len(word) + 1), rng.choice("abcre "))
             word.pop(rng.randrange(len(word)))
-        w = "".join(word)
-        got = {(d, p) for d, _, p in trie.search(w, 3)}
-        assert got == {(osa(w, p), p) for p in paths if osa(w, p) <= min(3, limit(min(len(w), len(p))))}
+        if rng.random() < 0.5 and len(word) > 1:
+            k = rng.randrange(len(word) - 1)
+            word[k], word[k + 1] = word[k + 1], word[k]
+        words.append("".join(word))
+    for w, hits in zip(words, trie.search(words, [3] * len(words))):
+        allowed = lambda p, k: min(3, canon.limit(min(len(w), len(p))) if k == canon.LABEL else canon.alias_limit(k, min(len(w), len(p))))
+        want = {(osa(w, p), e, k, p) for p, k, e in paths if abs(len(p) - len(w)) <= 3 and osa(w, p) <= allowed(p, k)}
+        assert {(h.edits, h.entry, h.kind, h.path) for h in hits} == want
+
+
+def test_all_entries_within_the_distance(spark):
+    values = ["brother", "Borther", "mother in law", "grt-ncl", "MIL", "fiancee", "bro", "far from all", "", None, "  ", "in-law, mother"]
+    df = spark.createDataFrame([(i, v, "relation") for i, v in enumerate(values)], "row_id long, value string, kind string")
+    entries = spark.createDataFrame(ENTRIES, "entry_id long, entry_kind string, entry_label string, other_labels array<string>")
+    paths = paths_of([e for e in ENTRIES if e[1] == "relation"])
+    want = set()
+    for i, v in enumerate(values):
+        for text in canon.readings(v or ""):
+            plain = canon.fold(text)
+            bare = not canon.VOWELS & set(plain.replace(" ", "")[1:])
+            for w in {plain, plain.replace(" ", ""), plain.translate(canon.LOOKALIKES)}:
+                for p, k, e in paths:
+                    most = canon.limit(min(len(w), len(p))) if k == canon.LABEL else canon.alias_limit(k, min(len(w), len(p)))
+                    if (k != canon.SKELETON or bare) and osa(w, p) <= min(most, canon.limit(len(w))):
+                        want.add((i, e, osa(w, p)))
+    least = {(i, e): min(d for x, y, d in want if (x, y) == (i, e)) for i, e, _ in want}
+    got = {(r.row_id, r.entry_id): r.edits for r in candidates(df, "value", entries, "kind", ["row_id"]).collect()}
+    assert got == least and len(got) >= 8
+    assert candidates(df.where("false"), "value", entries, "kind").count() == 0
+
+
+@pytest.mark.parametrize("small", [32 << 20, 0])
+def test_frequent_words_near_a_label_are_words_of_their_own(spark, monkeypatch, small):
+    monkeypatch.setattr(canon, "SMALL", small)
+    monkeypatch.setattr(canon, "HEAVY", 4)
+    entries = spark.createDataFrame(ENTRIES, "entry_id long, entry_kind string, entry_label string, other_labels array<string>")
+    rows = [("brother", 50), ("bro", 5), ("Bother", 8), ("bother", 4), ("brothr", 3), ("my bother", 1)]
+    df = spark.createDataFrame([(v, "relation") for v, n in rows for _ in range(n)] + [("brother", None)], "value string, kind string")
+    every = map_values(df, "value", entries, "kind").collect()
+    assert len(every) == df.count() and [r.entry_id for r in every if r.kind is None] == [0]
+    got = {(r.value, r.entry_id) for r in every if r.kind}
+    assert got == {("brother", 1), ("bro", 1), ("Bother", 0), ("bother", 0), ("brothr", 1), ("my bother", 1)}
+    assert {r.entry_id for r in map_values(df.where("kind is not null"), "value", entries, "kind", least=None).collect()} == {1}
 
 
 def test_typed_values(spark):
     typed = {
         "brother": 1, " Borther ": 1, "BRO": 1, "my brothr": 1, "(brother)": 1, "owner's brother": 1, "brother of the owner": 1, "in-law, mother": 2, "MIL": 2, "mother in law": 2, "motherinlaw": 2, "grt-ncl": 3, "great_uncle?": 3,
-        "fiance": 4, "next-do.": 6, "bother": 0, "my bother": 1, "a long phrase about nobody": 0, "???": 0, "family": 0,
+        "fiance": 4, "next-do.": 6, "brother - seen at the lake": 1, "my bother": 1, "a long phrase about nobody": 0, "???": 0, "family": 0,
     }
     df = spark.createDataFrame([(i, v, "relation", "x") for i, v in enumerate([*typed, None, "", "  "])], "row_id long, value string, kind string, entry_id string")
     entries = spark.createDataFrame([*ENTRIES, (9, "relation", None, None)], "entry_id long, entry_kind string, entry_label string, other_labels array<string>")
@@ -94,7 +148,7 @@ def test_typed_values(spark):
     assert got == dict(enumerate(typed.values()))
     assert {r.entry_id for r in map_values(df, "value", entries.where("false"), "kind", ["row_id"]).collect()} == {0}
     assert map_values(df.where("false"), "value", entries, "kind", ["row_id"]).count() == 0
-    assert resolve(Trie([]), "x" * 5000, frozenset()) == (0, -1)
+    assert resolve(Trie([]), ["x" * 5000, ""]) == [(0, -1), (0, -1)]
 
 
 @pytest.mark.parametrize("threshold", [0.6, 0.8])
@@ -122,24 +176,53 @@ def test_metric():
     assert damerau_levenshtein("ca", "abc") == 2 and damerau_levenshtein("ab", "ba") == 1 and damerau_levenshtein("", "abc") == 3
 
 
-def test_radius_join_in_cells_equals_all_pairs(spark, monkeypatch):
+def pairs_of(names, radius):
+    dl = damerau_levenshtein
+    return {(*a, *b, dl(a[0], b[0]) + dl(a[1], b[1])) for a, b in itertools.combinations(sorted(names), 2) if abs(len(a[1]) - len(b[1])) <= radius and dl(a[0], b[0]) + dl(a[1], b[1]) <= radius}
+
+
+@pytest.mark.parametrize("block,coarse", [(1024, 256), (32, 8), (16, 2)])
+def test_radius_join_in_cells_equals_all_pairs(spark, monkeypatch, block, coarse):
     from facetrail.llm import metricjoin
 
-    monkeypatch.setattr(metricjoin, "SMALL", 20)
-    monkeypatch.setattr(metricjoin, "BLOCK", 32)
+    monkeypatch.setattr(metricjoin, "BLOCK", block)
+    monkeypatch.setattr(metricjoin, "COARSE", coarse)
+    monkeypatch.setattr(metricjoin, "LEVELS", 2)
     rng = random.Random(6)
     names = set()
     while len(names) < 250:
-        g, f = rng.choice(["anna", "anne", "robert", "rupert", "maria"]), "".join(rng.choice("abc") for _ in range(6))
+        g, f = rng.choice(["anna", "anne", "robert", "rupert", "мария"]), "".join(rng.choice("abc") for _ in range(6))
         names |= {(g, f), (g[:-1], f), (g, f[1:] + "x")}
+    # names around and beyond the length from which they go by shells
+    for n in (38, 40, 41, 42, 60, 61):
+        names |= {("margaret", "ab" * (n // 2)), ("margaret", "ab" * (n // 2) + "c"), ("margarte", "ab" * (n // 2)), ("margaret", "ba" + "ab" * (n // 2 - 1))}
     rows = [("s", g, f) for g, f in names] + [("t", "anna", "aaa"), ("t", "anna", "aab"), ("u", "zoe", "q")]
     got = {(r.cell, r.g1, r.f1, r.g2, r.f2, r.dg + r.df) for r in radius_join(spark.createDataFrame(rows, "cell string, given string, family string"), 2).collect()}
-    dl = damerau_levenshtein
-    want = {("s", *a, *b, dl(a[0], b[0]) + dl(a[1], b[1])) for a, b in itertools.combinations(sorted(names), 2) if dl(a[0], b[0]) + dl(a[1], b[1]) <= 2} | {("t", "anna", "aaa", "anna", "aab", 1)}
-    assert got == want
+    assert got == {("s", *p) for p in pairs_of(names, 2)} | {("t", "anna", "aaa", "anna", "aab", 1)}
+
+
+def test_every_name_goes_through_a_cell(spark):
+    from facetrail.llm.metricjoin import PIVOTS, cell_counts
+
+    rng = random.Random(2)
+    rows = [("s", rng.choice(["anna", "robert", "maria"]), "".join(rng.choice("abcdefgh") for _ in range(7))) for _ in range(400)] + [("one", "zoe", "q")]
+    got = {r.cell: r for r in cell_counts(spark.createDataFrame(rows, "cell string, given string, family string").distinct(), 2).collect()}
+    n = len({r for r in rows if r[0] == "s"})
+    assert got["s"].names == n and n / PIVOTS / 2 < got["s"].pivots < n / PIVOTS * 2 and got["one"].names == got["one"].pivots == 1
+
+
+def test_bounded_distances():
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abc") for _ in range(rng.randrange(9))) for _ in range(60)]
+    for a, b in itertools.product(words[:30], words[30:]):
+        d = damerau_levenshtein(a, b)
+        assert all((metricjoin.bounded(a, b, k) == d) if d <= k else (metricjoin.bounded(a, b, k) > k) for k in (0, 1, 2, 4))
+    long = "ab" * 20_000
+    assert metricjoin.bounded(long, long[:100] + "x" + long[101:], 2) == 1 and metricjoin.bounded(long, long[::-1], 2) <= 2
 
 
-def test_components(spark):
+@pytest.mark.parametrize("local", [200_000, 7])
+def test_components(spark, local):
     rng = random.Random(8)
     edges = [(f"n{i:03d}", f"n{i + 1:03d}") for i in range(60)] + [(f"m{rng.randrange(50):02d}", f"m{rng.randrange(50):02d}") for _ in range(40)] + [("z", "z"), (None, "a")]
     parent = {}
@@ -153,7 +236,9 @@ def test_components(spark):
         if a and b and a != b:
             parent[max(find(a), find(b))] = min(find(a), find(b))
     want = {x: min(y for y in parent if find(y) == find(x)) for x in parent}
-    assert {r.node: r.root for r in components(spark.createDataFrame(edges, "u string, v string")).collect()} == want
+    assert {r.node: r.root for r in components(spark.createDataFrame(edges, "u string, v string"), local=local).collect()} == want
+    named = [(a[0], a, b) for a, b in edges if a and b]
+    assert {r.node: r.root for r in components(spark.createDataFrame(named, "g string, u string, v string"), "g", local).collect()} == want
     assert components(spark.createDataFrame([], "u string, v string")).count() == 0
 
 
@@ -164,6 +249,8 @@ def test_reading_of_names():
     assert read("Dr. Ostmund") == ("L", "", "ostmund", "") and read("Uncle Tony") == ("G", "anthony", "", "") and read("Ostmund, Anthony III")[3] == "iii"
     assert read(None) is None and read("  ") is None and read("?!") is None
     assert read("x" * 10_000)[0] == "G"
+    assert read("Иван Петров") == ("F", "иван", "петров", "") == read("Петров, Иван") and read("И. Петров")[0] == "I" and read("Γιώργος Παππάς") == ("F", "γιωργος", "παππας", "")
+    assert read("王小明") == ("F", "小明", "王", "") and read("王 小明")[0] == "F" and read("محمد علي")[0] == "F"
 
 
 CLUSTERS = "user_id string, cluster_id string, surfaces array<string>, primary_surface string, first_name string, last_name_candidates map<string,int>, quality_flags array<string>, person string"

@@ -69,7 +69,7 @@ def test_corpus_round_trip_of_odd_rows(spark):
     assert {(r.doc_id, r.n_tokens) for r in count_tokens(df, ["doc_id"]).collect()} == {(r.doc_id, len(r.ids)) for r in enc.collect()}
 
 
-def one_by_one(total, strength, legal, most, overlap):
+def one_by_one(total, strength, legal, whole, most, overlap):
     """Greedy cuts of one text, step by step."""
     ok = lambda k: k in (0, total) or legal[k]
     level = lambda k: 0 if k in (0, total) or not legal[k] else strength[k]
@@ -84,28 +84,31 @@ def one_by_one(total, strength, legal, most, overlap):
             return [*out, (start, total)]
         options = [[k for k in range(max(at, start + most // 2) + 1, end + 1) if level(k) >= n] for n in (3, 2, 1)]
         options += [[k for k in range(at + 1, end + 1) if level(k) >= 1], [k for k in range(at + 1, end + 1) if ok(k)]]
-        cut = next((o[-1] for o in options if o), None) or next(k for k in range(at + 1, total + 1) if ok(k))
+        cut = next((o[-1] for o in options if o), None)
+        if cut is None:
+            start, cut = at, [k for k in range(at + 1, min(at + most, total) + 1) if k == total or whole[k]][-1]
         out.append((start, cut))
         at = cut
         if at == total:
             return out
 
 
-@pytest.mark.parametrize("most,overlap", [(7, 6), (5, 0), (20, 5), (64, 8)])
+@pytest.mark.parametrize("most,overlap", [(7, 6), (5, 0), (4, 3), (20, 5), (64, 8)])
 def test_pointer_doubling_gives_the_greedy_cuts(most, overlap):
     rng = random.Random(most)
     coder = bpe.load(vocabulary_path())
-    words = ["alpha", "beta.", "gamma", "delta!\n", "\n\n", "it's", "漢字漢字", "🙂🙂", "x" * 30, "  ", "''a"]
+    words = ["alpha", "beta.", "gamma", "delta!\n", "\n\n", "it's", "漢字漢字", "🙂🙂", "x" * 30, "  ", "''a", "'" * 40, "🙂's", "𐍈𐍈𐍈"]
     texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(120))) for _ in range(60)]
     enc = coder.texts(pa.array(texts))
-    strength, legal, at = boundaries(enc)
-    of, a, b = cut_positions(enc.text_token0, strength, legal, most, overlap)
+    strength, legal, whole, at = boundaries(enc)
+    of, a, b = cut_positions(enc.text_token0, strength, legal, whole, most, overlap)
+    assert (b - a).max() <= most
     counts = enc.counts()
     assert set(of.tolist()) == {i for i, n in enumerate(counts) if n > most}
     for i in set(of.tolist()):
         t0 = int(enc.text_token0[i])
         n = int(counts[i])
-        want = one_by_one(n, strength[t0 : t0 + n + 1], legal[t0 : t0 + n + 1], most, overlap)
+        want = one_by_one(n, *(x[t0 : t0 + n + 1] for x in (strength, legal, whole)), most, overlap)
         m = of == i
         assert list(zip(a[m].tolist(), b[m].tolist())) == want
 
@@ -127,12 +130,14 @@ def test_pieces_are_within_the_limit_and_make_up_the_text(spark):
         ids = ids_of(coder, [texts[d]])[0]
         for k, p in enumerate(pieces):
             assert p.n_tokens == p.end_token - p.first_token and len(ids_of(coder, [p.piece])[0]) <= p.n_tokens
-            assert p.n_tokens <= most or s == 5
+            assert p.n_tokens <= most
             assert coder.decode(ids[p.first_token : p.end_token]).decode() == p.piece
             if k:
-                assert overlap <= p.overlap_tokens <= overlap + 3 or p.first_token == 0
+                assert overlap <= p.overlap_tokens <= overlap + 3 or p.first_token == 0 or s == 5
         assert pieces[0].first_token == 0 and pieces[-1].end_token == len(ids)
     assert any(p.boundary == "paragraph" for p in got[1, 0])
+    with pytest.raises(ValueError):
+        split_texts(df, spark.createDataFrame([(1, 3, 0)], "setting_id int, max_tokens int, overlap_tokens int"))
     assert split_texts(df.where("false"), sets).count() == 0 and split_texts(df, sets.where("false")).count() == 0
 
 
@@ -151,7 +156,7 @@ def test_mix(spark):
     rows += [(0, rows[0][1], rows[0][2]), (700, None, "b"), (701, "", "b")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     targets = spark.createDataFrame([(1, "a", 0.5, 2, 0.5), (1, "b", 0.3, 2, 0.5), (1, "nothing", 0.2, 2, 0.5), (2, "c_d", 0.9, 3, 1.2), (2, "a", 0.1, 1, 1.2)], "mix_id int, source string, target_share double, max_repeats int, total_ratio double")
-    mix, shares = mix_sources(docs, targets, rows_per_bucket=4)
+    mix, shares, _ = mix_sources(docs, targets, rows_per_bucket=4)
     s = {(r.mix_id, r.source): r for r in shares.collect()}
     m = mix.collect()
     assert len({(r.mix_id, r.doc_id) for r in m}) == len(m)
@@ -166,9 +171,23 @@ def test_mix(spark):
     assert s[2, "c_d"].actual_tokens <= 3 * s[2, "c_d"].available_tokens
     again = {(r.mix_id, r.doc_id, r.copies) for r in mix_sources(docs.repartition(7), targets, rows_per_bucket=4)[0].collect()}
     assert again == {(r.mix_id, r.doc_id, r.copies) for r in m}
-    empty_mix, empty_shares = mix_sources(docs.where("false"), targets)
+    empty_mix, empty_shares, _ = mix_sources(docs.where("false"), targets)
     assert empty_mix.count() == 0 and empty_shares.count() == 5
 
 
+def test_shortages_go_to_other_languages_of_a_source_first(spark):
+    rows = [(i, "word " * 20, "a", "de" if i < 10 else ["en", "EN ", "en-US"][i % 3]) for i in range(200)] + [(1000 + i, "word " * 20, "b", None) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    targets = spark.createDataFrame([(1, "a", 0.6, 2, 0.9), (1, "b", 0.4, 2, 0.9)], "mix_id int, source string, target_share double, max_repeats int, total_ratio double")
+    mix, shares, leaves = mix_sources(docs, targets, rows_per_bucket=16, language_exponent=0.0)
+    got = {(r.source, r.lang): r for r in leaves.collect()}
+    assert set(got) == {("a", "de"), ("a", "en"), ("b", "und")}
+    # half of a's budget would be 54 documents of each language: German has 10, twice each; English takes the rest
+    assert got["a", "de"].actual_tokens == 2 * got["a", "de"].available_tokens
+    per = {r.source: r for r in shares.collect()}
+    assert per["a"].actual_share == pytest.approx(0.6, abs=0.01) and per["a"].actual_tokens == sum(r.actual_tokens for k, r in got.items() if k[0] == "a")
+    assert mix.where("source = 'a'").selectExpr("sum(copies * n_tokens)").first()[0] == per["a"].actual_tokens
+
+
 def test_word_traits():
     assert splitting.word_traits(b"\n\n")[3] == 2 and splitting.word_traits(" end.”".encode())[0] == splitting.SENTENCE
