@@ -20,7 +20,7 @@ def written_name(c: Column) -> Column:
     or other signs stay as they are written."""
     text = F.regexp_replace(one_space(c), r"^[#@\-\s:]+", "")
     text = F.regexp_replace(F.regexp_replace(text, r"\s+\([^)]+\)$", ""), r"^[ ,.;:!?]+|[ ,.;:!?]+$", "")
-    piece = lambda p: F.when(p.rlike(r"^[\p{L}.,()]*[-']?$"), F.concat(F.upper(F.substring(p, 1, 1)), F.lower(F.substring(p, 2, 1000)))).otherwise(p)
+    piece = lambda p: F.when(p.rlike(r"^[\p{L}.,()]*[-']?$"), F.concat(F.upper(F.substring(p, 1, 1)), F.lower(F.substring(p, F.lit(2), F.length(p))))).otherwise(p)
     # hyphens and apostrophes are kept by marking the place behind them
     parts = lambda w: F.array_join(F.transform(F.split(F.regexp_replace(w, "([-'])", "$1\u0001"), "\u0001"), piece), "")
     word = lambda w: F.when(F.lower(w).isin(*PARTICLES), F.lower(w)).when(w.rlike(r"^[A-Za-z]\.$"), F.upper(w)).otherwise(parts(w))
@@ -32,7 +32,7 @@ def without_relation(c: Column) -> tuple[Column, Column]:
     words = F.split(one_space(c), " ")
     first = F.regexp_replace(F.lower(words[0]), r"^\.+|\.+$", "")
     has = (F.size(words) >= 2) & first.isin(*RELATION_WORDS)
-    return F.when(has, F.array_join(F.slice(words, 2, 1000), " ")).otherwise(F.array_join(words, " ")), F.when(has, first)
+    return F.when(has, F.array_join(F.slice(words, F.lit(2), F.size(words)), " ")).otherwise(F.array_join(words, " ")), F.when(has, first)
 
 
 def place_parts(c: Column, home: Column) -> tuple[Column, Column]:
@@ -144,13 +144,12 @@ def days_apart(a: Column, b: Column) -> Column:
 
 def canonical_terms(df: DataFrame, text: str, synonyms: DataFrame) -> DataFrame:
     """df with ``canonical``: the canonical term of the longest phrase of ``synonyms`` (phrase, canonical) in the folded text
-    at word borders, else the folded text. Phrases are looked up by the text's own word runs, an equality join."""
+    at word borders, else the folded text. Distinct texts are looked up once, by an equality join on a phrase's first word."""
     key = F.sha1(F.coalesce(F.col(text), F.lit("")))
     d = df.withColumn("__f", fold(F.coalesce(F.col(text), F.lit("")))).withColumn("__k", key)
-    words = F.split("__f", " ")
-    longest = 6
-    runs = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.array_join(F.slice(words, i, n), " ")))))
-    each = d.select("__k", "__f").distinct().select("__k", F.explode(runs).alias("phrase"))
-    hit = each.join(synonyms.select(fold(F.col("phrase")).alias("phrase"), "canonical").where("phrase <> ''").distinct(), "phrase")
-    best = hit.groupBy("__k").agg(F.min_by("canonical", F.struct((-F.length("phrase")).alias("n"), "phrase")).alias("__c"))
+    # phrases of any number of words meet the text on their first word
+    known = synonyms.select(fold(F.col("phrase")).alias("phrase"), "canonical").where("phrase <> ''").distinct().select("phrase", "canonical", F.split("phrase", " ")[0].alias("first"))
+    each = d.select("__k", "__f").distinct().select("__k", "__f", F.explode(F.array_distinct(F.split("__f", " "))).alias("first"))
+    within = F.contains(F.concat(F.lit(" "), F.col("__f"), F.lit(" ")), F.concat(F.lit(" "), F.col("phrase"), F.lit(" ")))
+    best = each.join(known, "first").where(within).groupBy("__k").agg(F.min_by("canonical", F.struct((-F.length("phrase")).alias("n"), "phrase")).alias("__c"))
     return d.join(best, "__k", "left").withColumn("canonical", F.coalesce("__c", "__f")).drop("__k", "__f", "__c")

@@ -22,7 +22,7 @@ def owner_argmax(spark: SparkSession, d: str) -> DataFrame:
 
 
 def owner_names_ranked(spark: SparkSession, d: str) -> DataFrame:
-    return A.owner_names(*_t(spark, d, "text_units")).where("rank <= 20").select("user_id", "name", F.round("score", 3).alias("score"), "mentions", "n_photos", "is_full", "rank")
+    return A.owner_names(*_t(spark, d, "text_units")).select("user_id", "name", F.round("score", 3).alias("score"), "mentions", "n_photos", "is_full", "rank")
 
 
 def home_city(spark: SparkSession, d: str) -> DataFrame:
@@ -61,7 +61,7 @@ def identity_pair_score(spark: SparkSession, d: str) -> DataFrame:
 def edge_margin(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "identity_edges").where("score >= 0 and score <= 1 and not isnan(score) and trim(name_surface) <> ''").select("user_id", "face_id", F.lower(F.trim("name_surface")).alias("name"), "score")
     best = e.groupBy("user_id", "face_id", "name").agg(F.max("score").alias("score"))
-    out = A.with_margin(best, ["user_id", "face_id"], "name").where("rank <= 4")
+    out = A.with_margin(best, ["user_id", "face_id"], "name")
     confidence = F.round(F.greatest(F.lit(0.05), F.least(F.lit(0.95), 0.36 + 0.52 * F.col("score") + 0.30 * F.col("margin"))), 6)
     return out.withColumn("confidence", confidence)
 
@@ -92,7 +92,7 @@ FULL = r"(len(string_split(trim(regexp_replace({0}, '\s+', ' ', 'g')), ' ')) >=
 
 def _bridges(faces: str) -> str:
     c, p = FOLD.format("gps_city"), FOLD.format("gps_location")
-    day = r"try_cast(nullif(regexp_extract(timestamp, '^(\d{4}-\d{2}-\d{2})', 1), '') AS DATE)"
+    day = r"try_cast(nullif(regexp_extract(regexp_replace(timestamp, '^(\d{4})(\d{2})(\d{2})(\D|$)', '\1-\2-\3\4'), '^(\d{4}-\d{2}-\d{2})', 1), '') AS DATE)"
     return f"""
 f AS (SELECT DISTINCT user_id, face_id, photo_id AS face_photo, year_month AS ym, {c} AS city, {p} AS place, {day} AS day FROM {faces}),
 t AS (SELECT DISTINCT user_id, photo_id AS text_photo, year_month AS ym, {c} AS city, {p} AS place, {day} AS day FROM text_units),
@@ -128,7 +128,7 @@ WITH one AS (SELECT user_id, unit_id, min(photo_id) AS photo_id, min(coalesce(ow
 n AS (SELECT user_id, photo_id, ref, hf, unnest(names) AS name FROM one),
 s AS (SELECT user_id, name, round(sum(1.0::DOUBLE + 1.6::DOUBLE * ref + CASE WHEN hf THEN 0.4 ELSE 0 END::DOUBLE + 0.2::DOUBLE + CASE WHEN {FULL.format('name')} THEN 0.8 ELSE 0 END::DOUBLE), 3) AS score,
   count(*) AS mentions, count(DISTINCT photo_id) AS n_photos, {FULL.format('name')} AS is_full FROM n WHERE trim(name) <> '' GROUP BY user_id, name)
-SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY is_full DESC, score DESC, mentions DESC, name) AS rank FROM s QUALIFY rank <= 20""",
+SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY is_full DESC, score DESC, mentions DESC, name) AS rank FROM s""",
     "home_city": f"""
 WITH o AS ({OWNER}), s AS ({SEEN}), c AS (SELECT user_id, photo_id, min(trim(metadata.gps_city)) AS city FROM photos GROUP BY ALL),
 k AS (SELECT c.user_id, city, count(*) AS na, count(o.owner_face) AS no FROM c LEFT JOIN (SELECT s.user_id, s.photo_id, o.owner_face FROM s JOIN o ON s.user_id = o.user_id AND s.face_id = o.owner_face) o ON o.user_id = c.user_id AND o.photo_id = c.photo_id
@@ -181,7 +181,7 @@ WINDOW w AS (PARTITION BY user_id, face_id ORDER BY score DESC, cluster_id) QUAL
     "edge_margin": """
 WITH b AS (SELECT user_id, face_id, lower(trim(name_surface)) AS name, max(score) AS score FROM identity_edges WHERE score >= 0 AND score <= 1 AND NOT isnan(score) AND trim(name_surface) <> '' GROUP BY ALL),
 r AS (SELECT *, row_number() OVER w AS rank, round(greatest(0, score - coalesce(lead(score) OVER w, 0)), 6) AS margin FROM b WINDOW w AS (PARTITION BY user_id, face_id ORDER BY score DESC, name))
-SELECT *, round(greatest(0.05, least(0.95, 0.36::DOUBLE + 0.52::DOUBLE * score + 0.30::DOUBLE * margin)), 6) AS confidence FROM r WHERE rank <= 4""",
+SELECT *, round(greatest(0.05, least(0.95, 0.36::DOUBLE + 0.52::DOUBLE * score + 0.30::DOUBLE * margin)), 6) AS confidence FROM r""",
     "album_summary": """
 WITH one AS (SELECT user_id, photo_id, nullif(min(coalesce(year_month, '')), '') AS ym FROM photos GROUP BY ALL)
 SELECT user_id, count(*) AS n_photos, min(ym) AS first_month, max(ym) AS last_month FROM one GROUP BY user_id""",

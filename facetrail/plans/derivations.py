@@ -93,6 +93,12 @@ QUERIES = {f.__name__: f for f in FUNCTIONS}
 SEEN, OWNER, FOLD = ("SELECT DISTINCT user_id, photo_id, face_id FROM (SELECT user_id, photo_id, unnest(visible_face_ids) AS face_id FROM photos) WHERE face_id IS NOT NULL", None, "trim(regexp_replace(lower(strip_accents({0})), '[^a-z0-9]+', ' ', 'g'))")
 OWNER = f"SELECT user_id, face_id FROM (SELECT user_id, face_id, count(*) AS n FROM ({SEEN}) GROUP BY user_id, face_id) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, face_id) = 1"
 ONE = r"trim(regexp_replace({0}, '\s+', ' ', 'g'), ' ')"
+#: A name written out, as operators.derive.written_name gives it.
+WRITTEN = (
+    r"array_to_string(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(" + ONE.replace("{{", "{").replace("}}", "}") + r", '^[#@\-\s:]+', ''), '\s+\([^)]+\)$', ''), '^[ ,.;:!?]+|[ ,.;:!?]+$', '', 'g'), ' '), "
+    r"lambda x: CASE WHEN lower(x) IN ('de','del','dela','van','von','da','di') THEN lower(x) WHEN regexp_matches(x, '^[A-Za-z]\.$') THEN upper(x) "
+    r"ELSE array_to_string(list_transform(string_split(regexp_replace(x, '([-''])', '\1' || chr(1), 'g'), chr(1)), lambda y: CASE WHEN regexp_matches(y, '^[\p{{L}}.,()]*[-'']?$') THEN upper(substring(y, 1, 1)) || lower(substring(y, 2)) ELSE y END), '') END), ' ')"
+)
 RELATIONS = "[" + ", ".join(f"'{r}'" for r in D.RELATION_WORDS) + "]"
 STOP = "['the','and','for','with','from','this','that']"
 TERMS = "list_filter(list_distinct(list_transform(regexp_extract_all({0}, '[A-Za-z][A-Za-z0-9_-]{{2,}}'), lambda z: lower(z))), lambda z: NOT list_contains(" + STOP + ", z))"
@@ -100,10 +106,7 @@ MONTH = "coalesce(try_cast({0}[1:4] AS INT) * 12 + try_cast({0}[6:7] AS INT), 0)
 HAS = "regexp_matches(' ' || w || ' ', '{0}')"
 SQL = {
     "written_names": rf"""
-WITH n AS (SELECT DISTINCT cluster_id, primary_surface AS p FROM name_clusters WHERE regexp_matches(primary_surface, '^[A-Za-z .,()-]+$')),
-t AS (SELECT cluster_id, {ONE.format('p')} AS o, regexp_replace(regexp_replace(regexp_replace({ONE.format('p')}, '^[#@\-\s:]+', ''), '\s+\([^)]+\)$', ''), '^[ ,.;:!?]+|[ ,.;:!?]+$', '', 'g') AS t FROM n),
-w AS (SELECT cluster_id, string_split(o, ' ') AS ow, array_to_string(list_transform(string_split(t, ' '), lambda x: CASE WHEN lower(x) IN ('de','del','dela','van','von','da','di') THEN lower(x) WHEN regexp_matches(x, '^[A-Za-z]\.$') THEN upper(x)
-  ELSE array_to_string(list_transform(string_split(x, '-'), lambda y: upper(y[1:1]) || lower(y[2:])), '-') END), ' ') AS written FROM t),
+WITH n AS (SELECT DISTINCT cluster_id, primary_surface AS p FROM name_clusters WHERE primary_surface IS NOT NULL), w AS (SELECT cluster_id, string_split({ONE.format('p')}, ' ') AS ow, {WRITTEN.format('p')} AS written FROM n),
 r AS (SELECT *, regexp_replace(lower(ow[1]), '^\.+|\.+$', '', 'g') AS f FROM w)
 SELECT cluster_id, written, CASE WHEN len(ow) >= 2 AND list_contains({RELATIONS}, f) THEN array_to_string(ow[2:], ' ') ELSE array_to_string(ow, ' ') END AS bare, CASE WHEN len(ow) >= 2 AND list_contains({RELATIONS}, f) THEN f END AS relation FROM r""",
     "place_city": f"""
@@ -115,7 +118,7 @@ WITH p AS (SELECT DISTINCT user_id, photo_id, list_transform(regexp_extract_all(
 f AS (SELECT user_id, photo_id, list_filter(r, lambda x: len({TERMS.format('x')}) >= 2) AS r FROM p), d AS (SELECT user_id, photo_id, list_filter(r, lambda x, i: list_position(r, x) = i)[1:8] AS r FROM f)
 SELECT DISTINCT user_id, photo_id, array_to_string(r, '|') AS phrases FROM d WHERE len(r) > 0""",
     "fact_signatures": f"""
-WITH t AS (SELECT doc_id, trim(regexp_replace(lower({ONE.format('text')}), '[^a-z0-9]+', ' ', 'g')) AS w FROM documents WHERE length(text) < 400),
+WITH t AS (SELECT doc_id, trim(regexp_replace(lower({ONE.format('text')}), '[^a-z0-9]+', ' ', 'g')) AS w FROM documents WHERE text IS NOT NULL),
 s AS (SELECT doc_id, CASE WHEN w = '' THEN '' WHEN {HAS.format(' name ')} THEN 'owner_name' WHEN {HAS.format(' [0-9]{2} years old ')} THEN 'owner_age' WHEN {HAS.format(' (birth year|date of birth|born) ')} THEN 'owner_birth' WHEN {HAS.format(' (based in|lives in|living in) ')} THEN 'owner_base' ELSE w END AS signature FROM t)
 SELECT signature, count(*) AS n, min(doc_id) AS first_doc FROM s GROUP BY signature""",
     "entity_cleaning": """

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from facetrail.plans import albums, derivations, evaluation, profiles, relations, search, sessions
+from facetrail.plans import albums, derivations, evaluation, language, profiles, relations, search, sessions
 
-MODULES = (sessions, search, albums, evaluation, relations, profiles, derivations)
+MODULES = (sessions, search, albums, evaluation, relations, profiles, derivations, language)
 FLAGSHIP = "keyword_search_topk"
 
 

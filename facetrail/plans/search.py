@@ -15,13 +15,13 @@ QUERIES_3 = ["rehearsal at the chapel", "two strangers copy the pose", "badge an
 
 def keyword_search_topk(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "text").where("text is not null")
-    hits = keyword_scores(docs, X.query_terms(F.col("text")), [QUERY])
+    hits = keyword_scores(docs, X.query_terms(F.col("text")), [QUERY], "text")
     return hits.select("doc_id", F.round("score", 9).alias("score")).orderBy(F.col("score").desc(), "doc_id").limit(50)
 
 
 def multi_query_retrieve(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "text").where("text is not null")
-    hits = keyword_scores(docs, X.query_terms(F.col("text")), QUERIES_3).select("doc_id", "query_no", F.round("score", 9).alias("score"))
+    hits = keyword_scores(docs, X.query_terms(F.col("text")), QUERIES_3, "text").select("doc_id", "query_no", F.round("score", 9).alias("score"))
     top = first_k(hits, ["query_no"], [F.col("score").desc(), F.col("doc_id")], 20)
     return first_k(top, ["doc_id"], [F.col("query_no"), F.col("rank")], 1, "k").select("doc_id", "query_no", "rank")
 
@@ -128,6 +128,7 @@ QUERIES = {f.__name__: f for f in FUNCTIONS}
 
 STOP = "['the','and','for','with','from','this','that']"
 TERMS = "list_filter(list_distinct(list_transform(regexp_extract_all({0}, '[A-Za-z][A-Za-z0-9_-]{{2,}}'), lambda x: lower(x))), lambda x: NOT list_contains(" + STOP.replace("{", "{{") + ", x))"
+FOLDED = "trim(regexp_replace(lower(strip_accents({0})), '[^a-z0-9]+', ' ', 'g'))"
 ONE_SPACE = r"trim(regexp_replace({0}, '\s+', ' ', 'g'), ' ')"
 
 
@@ -193,10 +194,12 @@ SELECT DISTINCT person_id, folded, string_split(folded, ' ')[1] AS first, len(st
     "frequent_terms": f"""
 WITH t AS (SELECT doc_id, unnest({_terms('text')}) AS term FROM documents)
 SELECT term, count(DISTINCT doc_id) AS n_docs FROM t GROUP BY term ORDER BY n_docs DESC, term LIMIT 40""",
-    "relation_words": """
-WITH u AS (SELECT DISTINCT user_id, unit_id, unnest(string_split(regexp_replace(lower(caption), '[^a-z0-9]+', ' ', 'g'), ' ')) AS word FROM text_units)
-SELECT u.user_id, u.word, count(*) AS n_units FROM u JOIN relation_entries e ON e.entry_kind = 'relation' AND regexp_matches(e.entry_label, '^[a-z]+$') AND e.entry_label = u.word
-WHERE u.word <> '' GROUP BY u.user_id, u.word""",
+    "relation_words": f"""
+WITH e AS (SELECT DISTINCT entry_label AS word, string_split({FOLDED.format('n')}, ' ') AS w FROM (SELECT entry_label, unnest(list_concat([entry_label], coalesce(other_labels, []))) AS n FROM relation_entries WHERE entry_kind = 'relation') WHERE {FOLDED.format('n')} <> ''),
+u AS (SELECT DISTINCT user_id, unit_id, string_split({FOLDED.format('caption')}, ' ') AS words FROM text_units), x AS (SELECT user_id, unit_id, words, unnest(range(1, len(words) + 1)) AS i FROM u),
+h AS (SELECT x.*, e.word, len(e.w) AS n FROM x JOIN e ON x.words[i] = e.w[1] AND x.words[i:i + len(e.w) - 1] = e.w),
+k AS (SELECT DISTINCT user_id, unit_id, word FROM h WHERE NOT EXISTS (SELECT 1 FROM h o WHERE o.user_id = h.user_id AND o.unit_id = h.unit_id AND o.words = h.words AND o.n > h.n AND o.i <= h.i AND h.i + h.n <= o.i + o.n))
+SELECT user_id, word, count(*) AS n_units FROM k GROUP BY ALL""",
     "json_salvage": r"""
 WITH t AS (SELECT doc_id, text, regexp_extract(text, '\{[^{}]*\}') AS f FROM documents WHERE text LIKE '%{%'),
 j AS (SELECT doc_id, CASE WHEN json_valid(text) THEN text WHEN json_valid(f) THEN f END AS j FROM t)

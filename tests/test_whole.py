@@ -1,29 +1,10 @@
-"""Queries take in all rows of their tables, also those that the SQL beside them leaves out."""
+"""Queries take in all rows of their tables: long texts, names of any letters, rare pairs, compact dates, long labels."""
 
-from collections import Counter
-
-import duckdb
 import pytest
 
-from facetrail.llm import queries
 from facetrail.operators.albums import bridges
-from facetrail.plans import albums, derivations, search
+from facetrail.plans import derivations, search
 from facetrail.streaming.sessions import face_counts
-from tests.conftest import SF
-from tests.test_queries import canon
-
-
-def in_duckdb(sql, sf=SF):
-    con = duckdb.connect()
-    for t in ("documents", "name_clusters", "photos", "face_units", "text_units"):
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
-    return canon(con.execute(sql).df())
-
-
-def widened(sql, old, new):
-    """The SQL without a limit of its own."""
-    assert old in sql
-    return sql.replace(old, new)
 
 
 def test_signatures_of_long_texts(spark, tmp_path):
@@ -33,11 +14,6 @@ def test_signatures_of_long_texts(spark, tmp_path):
     assert got == {long.lower().strip(): (2, "d1"), "short one": (1, "d3"), long.lower() + "x": (1, "d5")}
 
 
-def test_signatures_equal_their_sql_over_all_texts(spark):
-    sql = widened(derivations.SQL["fact_signatures"], "length(text) < 400", "text IS NOT NULL")
-    assert canon(derivations.fact_signatures(spark, SF).toPandas()) == in_duckdb(sql)
-
-
 NAMES = {
     "Renée Ulvmerel": "Renée Ulvmerel", "ÉLODIE ÖSTVAL": "Élodie Östval", "žofia van Íñdal": "Žofia van Íñdal", "o'neil-smith d. VAN hale": "O'Neil-Smith D. van Hale", 'Margaret "Peggy" TOLGRAVET': 'Margaret "Peggy" Tolgravet',
     "#@ ana DE bri": "Ana de Bri", "@kestrel_99": "kestrel_99", "J0rdan McVale": "J0rdan Mcvale", "BORN 1987": "Born 1987", "Aunt Zoë (left)": "Aunt Zoë", "  MÁRTA\tlind !": "Márta Lind", "###": "",
@@ -52,25 +28,18 @@ def test_written_names_of_any_letters_and_signs(spark, tmp_path):
     assert (got["9"]["bare"], got["9"]["relation"]) == ("Zoë (left)", "aunt") and got["0"]["relation"] is None
 
 
-def test_written_names_hold_those_of_the_sql(spark):
-    cols, got = canon(derivations.written_names(spark, SF).toPandas())
-    sql_cols, want = in_duckdb(derivations.SQL["written_names"])
-    every = spark.read.parquet(f"{SF}/name_clusters.parquet").where("primary_surface is not null").select("cluster_id", "primary_surface").distinct().count()
-    assert cols == sql_cols and not Counter(want) - Counter(got) and len(got) == every
-
-
-def test_lift_of_every_pair(spark, tmp_path):
-    photos = [("u", "p1", ["a", "b"]), ("u", "p2", ["a", "c"]), ("u", "p3", ["a"]), ("u", "p4", ["b"])]
-    spark.createDataFrame(photos, "user_id string, photo_id string, visible_face_ids array<string>").write.parquet(f"{tmp_path}/photos.parquet")
-    spark.createDataFrame([], "user_id string, photo_id string, face_id string, co_faces array<string>").write.parquet(f"{tmp_path}/face_units.parquet")
-    got = sorted(tuple(r) for r in queries.p4_lift(spark, str(tmp_path)).collect())
-    assert got == [("u", "a", "b", 1, 3, 2, 4, 0.666667), ("u", "a", "c", 1, 3, 1, 4, 1.333333)]
+def test_written_names_and_synonyms_of_any_length(spark):
+    from pyspark.sql import functions as F
 
+    from facetrail.operators import derive as D
 
-def test_lift_equals_its_sql_without_thresholds(spark):
-    sql = widened(queries.P4_LIFT_SQL, " HAVING count(*) >= 5", "")
-    sql = widened(sql, " WHERE p.n * t.n >= 2 * a.n * b.n", "")
-    assert canon(queries.p4_lift(spark, SF).toPandas()) == in_duckdb(sql)
+    long = "x" * 1500
+    df = spark.createDataFrame([("aunt " + " ".join(["ann"] * 1200), long)], "many string, one string")
+    row = df.select(D.written_name(F.col("one")).alias("w"), D.without_relation(F.col("many"))[0].alias("b")).first()
+    assert len(row["w"]) == 1500 and len(row["b"].split()) == 1200
+    phrase = "friend of the family from the old house"
+    got = D.canonical_terms(spark.createDataFrame([(f"My {phrase}!",), ("friend",), (None,)], "t string"), "t", spark.createDataFrame([(phrase, "friend"), ("friend", "pal")], "phrase string, canonical string"))
+    assert {r["t"]: r["canonical"] for r in got.collect()} == {f"My {phrase}!": "friend", "friend": "pal", None: ""}
 
 
 def test_bridges_of_compact_dates(spark):
@@ -82,12 +51,6 @@ def test_bridges_of_compact_dates(spark):
     assert got == [(f, t, "near_date_city") for f in ("f1", "f2") for t in ("t1", "t2", "t4")]
 
 
-@pytest.mark.parametrize("name", ["bridge_counts", "identity_pair_score"])
-def test_bridges_equal_their_sql_with_compact_dates(spark, name):
-    sql = widened(albums.SQL[name], "regexp_extract(timestamp,", r"regexp_extract(regexp_replace(timestamp, '^(\d{4})(\d{2})(\d{2})(\D|$)', '\1-\2-\3\4'),")
-    assert canon(albums.QUERIES[name](spark, SF).toPandas()) == in_duckdb(sql)
-
-
 def test_relation_words_of_any_label(spark, tmp_path):
     entries = [("relation", "mother", ["mom"]), ("relation", "mother-in-law", []), ("relation", "fiancé", None), ("relation", "best friend", ["bff"]), ("relation", "friend", []), ("place", "lobby", [])]
     spark.createDataFrame([(i, *x) for i, x in enumerate(entries)], "entry_id long, entry_kind string, entry_label string, other_labels array<string>").write.parquet(f"{tmp_path}/relation_entries.parquet")
