@@ -166,6 +166,7 @@ OWNER = f"SELECT user_id, face_id AS owner_face FROM (SELECT user_id, face_id, c
 from facetrail.plans.albums import SQL as ALBUM_SQL  # noqa: E402
 from facetrail.plans.derivations import RELATIONS, WRITTEN  # noqa: E402
 
+HEDGED = " OR ".join(f"regexp_matches(t, '{_borders(p)}')" for p in L.HEDGES)
 KEY = "trim(regexp_replace(lower({0}), '[^a-z0-9_]+', ' ', 'g'))"
 SQL = {
     "name_checks": rf"""
