@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from facetrail.plans import albums, derivations, evaluation, judging, language, profiles, relations, search, sessions
+from facetrail.plans import albums, assignment, derivations, evaluation, export, judging, language, profiles, relations, search, sessions
 
-MODULES = (sessions, search, albums, evaluation, relations, profiles, derivations, language, judging)
+MODULES = (sessions, search, albums, evaluation, relations, profiles, derivations, language, judging, assignment, export)
 FLAGSHIP = "keyword_search_topk"
 
 
