@@ -103,24 +103,78 @@ def same_photo_weights(photos: DataFrame, clusters: DataFrame) -> DataFrame:
     return rows.groupBy("user_id", "face_id", "cluster_id").agg(F.count("*").alias("n_same"), F.sum(w).alias("weight"))
 
 
+def placed(units: DataFrame, *ids: str) -> DataFrame:
+    """(user_id, ids.., photo_id, ym, city, place, day) of units, one row per photo and id: the least of its values; '' and null
+    alike are no month, city or place. Days are as written, dashed or compact."""
+    written = F.regexp_extract("timestamp", r"^(\d{4}-\d{2}-\d{2}|\d{8}(?!\d))", 1)
+    day = F.regexp_replace(written, r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3").try_cast("date")
+    none = F.lit("")
+    rows = units.select("user_id", *ids, "photo_id", F.coalesce("year_month", none).alias("ym"), F.coalesce(fold(F.col("gps_city")), none).alias("city"), F.coalesce(fold(F.col("gps_location")), none).alias("place"), day.alias("day"))
+    return rows.groupBy("user_id", *ids, "photo_id").agg(F.min(F.struct("ym", "city", "place", "day")).alias("w")).select("user_id", *ids, "photo_id", "w.*")
+
+
+SPOT, DATED = ["ym", "city", "place"], ["ym", "city", "day"]
+
+
+def _spots(f: DataFrame, t: DataFrame) -> DataFrame:
+    """(user_id, ym, city, place, city2, place2, k) of the spots of one month that bridge: k 0 if one place contains the other,
+    else 1 if the city is the same. Spots are few, however many photos an album has."""
+    a = f.where("ym <> ''").select("user_id", *SPOT).distinct()
+    b = t.where("ym <> ''").select("user_id", "ym", F.col("city").alias("city2"), F.col("place").alias("place2")).distinct()
+    inside = (F.col("place") != "") & (F.col("place2") != "") & (F.contains("place", F.col("place2")) | F.contains("place2", F.col("place")))
+    k = F.when(inside, 0).when((F.col("city") != "") & (F.col("city") == F.col("city2")), 1)
+    return a.join(b, ["user_id", "ym"]).withColumn("k", k).where("k is not null")
+
+
+def _near(f: DataFrame, t: DataFrame, days: int) -> DataFrame:
+    """(user_id, city, ym, day, ym2, day2): dates in one city, at most ``days`` apart and not of one month. Dates meet in
+    stretches of ``days`` and those beside them, an equality join."""
+    number = lambda c: F.unix_date(F.col(c))
+    a = f.where("city <> '' and day is not null").select("user_id", *DATED).distinct().withColumn("b", F.floor(number("day") / days))
+    b = t.where("city <> '' and day is not null").select("user_id", "city", F.col("ym").alias("ym2"), F.col("day").alias("day2")).distinct()
+    b = b.withColumn("b", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda x: F.floor(number("day2") / days) + x)))
+    return a.join(b, ["user_id", "city", "b"]).where((F.abs(number("day") - number("day2")) <= days) & ((F.col("ym") != F.col("ym2")) | (F.col("ym") == ""))).drop("b")
+
+
+BRIDGES = ("location_month", "city_month", "near_date_city")
+
+
 def bridges(face_units: DataFrame, text_units: DataFrame, near_days: int = 14) -> DataFrame:
     """(user_id, face_id, face_photo, text_photo, bridge): faces and texts on different photos that time and place bring
     together: 'location_month' (one place contains the other), else 'city_month', else 'near_date_city' within
-    ``near_days`` of the dates as written, dashed or compact. Every branch is an equality join on album and city, or album
-    and month, with the rest as a residual."""
-    written = F.regexp_extract("timestamp", r"^(\d{4}-\d{2}-\d{2}|\d{8}(?!\d))", 1)
-    day = lambda: F.regexp_replace(written, r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3").try_cast("date")
-    f = face_units.select("user_id", "face_id", F.col("photo_id").alias("face_photo"), F.col("year_month").alias("ym"), fold(F.col("gps_city")).alias("city"), fold(F.col("gps_location")).alias("place"), day().alias("day")).distinct()
-    t = text_units.select("user_id", F.col("photo_id").alias("text_photo"), F.col("year_month").alias("ym2"), fold(F.col("gps_city")).alias("city2"), fold(F.col("gps_location")).alias("place2"), day().alias("day2")).distinct()
-    other = F.col("face_photo") != F.col("text_photo")
-    same_month = f.where("ym <> '' and place <> ''").join(t.where("place2 <> ''").withColumn("ym", F.col("ym2")), ["user_id", "ym"]).where(other & (F.contains("place", F.col("place2")) | F.contains("place2", F.col("place")))).withColumn("k", F.lit(0))
-    same_city = f.where("city <> ''").join(t.withColumn("city", F.col("city2")), ["user_id", "city"]).where(other)
-    month = same_city.where("ym <> '' and ym = ym2").withColumn("k", F.lit(1))
-    near = same_city.where(F.abs(F.datediff("day", "day2")) <= near_days).withColumn("k", F.lit(2))
+    ``near_days`` of the dates as written, dashed or compact. Photos meet only at spots and dates that bridge."""
+    f = placed(face_units, "face_id").withColumnRenamed("photo_id", "face_photo")
+    t = placed(text_units).withColumnRenamed("photo_id", "text_photo")
+    other = t.select("user_id", "text_photo", *[F.col(c).alias(f"{c}2") for c in ("ym", "city", "place", "day")])
+    spots = f.join(_spots(f, t), ["user_id", *SPOT]).join(other.withColumn("ym", F.col("ym2")).drop("day2", "ym2"), ["user_id", "ym", "city2", "place2"])
+    near = f.join(_near(f, t, near_days), ["user_id", *DATED]).join(other.withColumn("city", F.col("city2")).drop("city2", "place2"), ["user_id", "city", "ym2", "day2"]).withColumn("k", F.lit(2))
     keys = ["user_id", "face_id", "face_photo", "text_photo"]
-    every = same_month.select(*keys, "k").unionByName(month.select(*keys, "k")).unionByName(near.select(*keys, "k"))
-    names = F.element_at(F.array(F.lit("location_month"), F.lit("city_month"), F.lit("near_date_city")), F.col("k") + 1)
-    return every.groupBy(*keys).agg(F.min("k").alias("k")).select(*keys, names.alias("bridge"))
+    every = spots.select(*keys, "k").unionByName(near.select(*keys, "k")).where("face_photo <> text_photo")
+    names = F.element_at(F.array(*map(F.lit, BRIDGES)), F.col("k") + 1)
+    return every.select(*keys, names.alias("bridge"))
+
+
+def bridge_counts(face_units: DataFrame, text_units: DataFrame, mentions: DataFrame, near_days: int = 14) -> DataFrame:
+    """(user_id, face_id, cluster_id, strict, city, near): bridges from each face to the text photos of each cluster, counted
+    without being made: photos are counted by spot and date on both sides first, the counts of those that bridge multiplied.
+
+    mentions: (user_id, cluster_id, text_photo), distinct. What a photo would bridge to itself is counted and taken off."""
+    f = placed(face_units, "face_id")
+    t = placed(text_units)
+    m = t.join(mentions.withColumnRenamed("text_photo", "photo_id"), ["user_id", "photo_id"])
+    spots, near = _spots(f, t), _near(f, t, near_days)
+    n = lambda df, who, keys, name, two="": df.groupBy("user_id", who, *keys).agg(F.count("*").alias(name)).withColumnsRenamed({c: c + two for c in keys})
+    by_spot = n(f, "face_id", SPOT, "nf").join(spots, ["user_id", *SPOT]).join(n(m, "cluster_id", SPOT, "nt", "2").withColumnRenamed("ym2", "ym"), ["user_id", "ym", "city2", "place2"])
+    by_date = n(f, "face_id", DATED, "nf").join(near, ["user_id", *DATED]).join(n(m, "cluster_id", DATED, "nt", "2").withColumnRenamed("city2", "city"), ["user_id", "city", "ym2", "day2"]).withColumn("k", F.lit(2))
+    own = f.join(m.select("user_id", "photo_id", "cluster_id", *[F.col(c).alias(f"{c}2") for c in ("ym", "city", "place", "day")]), ["user_id", "photo_id"])
+    own_spot = own.where("ym = ym2").join(spots, ["user_id", "ym", "city", "place", "city2", "place2"])
+    own_date = own.where("city = city2").join(near, ["user_id", "city", "ym", "day", "ym2", "day2"]).withColumn("k", F.lit(2))
+    key = ["user_id", "face_id", "cluster_id", "k"]
+    times = F.col("nf") * F.col("nt")
+    less = F.lit(-1).cast("long")
+    rows = by_spot.select(*key, times.alias("n")).unionByName(by_date.select(*key, times.alias("n"))).unionByName(own_spot.select(*key, less.alias("n"))).unionByName(own_date.select(*key, less.alias("n")))
+    of = lambda k: F.coalesce(F.sum(F.when(F.col("k") == k, F.col("n"))), F.lit(0))
+    return rows.groupBy("user_id", "face_id", "cluster_id").agg(of(0).alias("strict"), of(1).alias("city"), of(2).alias("near")).where("strict > 0 or city > 0 or near > 0")
 
 
 def strength(n: Column, scale: int) -> Column:
@@ -135,19 +189,19 @@ def multiset_overlap(face_units: DataFrame, clusters: DataFrame, column: str) ->
     return a.join(b, ["user_id", "t"]).groupBy("user_id", "face_id", "cluster_id").agg(F.sum(F.least("n", "m")).alias("overlap"))
 
 
-def pair_scores(photos: DataFrame, face_units: DataFrame, text_units: DataFrame, clusters: DataFrame, per_face: int = 12) -> DataFrame:
+def pair_scores(photos: DataFrame, face_units: DataFrame, text_units: DataFrame, clusters: DataFrame, per_face: int | None = 12) -> DataFrame:
     """(user_id, face_id, cluster_id, score, margin, rank): names scored for every face that is not the owner's.
 
     The score is the weighted sum of shared photos, bridges, shared activities and places, relations, company of the owner
     and quality of the name, less penalties, within 0..1; the margin is the lead over the next name. A pair is a candidate
-    if it shares a photo, a bridge or a term, found by equality joins; pairs with none of these are not made up."""
+    if it shares a photo, a bridge or a term, found by equality joins; pairs with none of these are not made up. ``per_face``
+    null gives all candidates."""
     fu = face_units.groupBy("user_id", "face_id", "photo_id").agg(
         F.min("year_month").alias("year_month"), F.min("timestamp").alias("timestamp"), F.min("gps_city").alias("gps_city"), F.min("gps_location").alias("gps_location"), F.max("owner_present").alias("owner_present"), F.min("relation_terms").alias("relation_terms"), F.min("activity_terms").alias("activity_terms"), F.min("venue_terms").alias("venue_terms"))
     cl = clusters.groupBy("user_id", "cluster_id").agg(F.min("primary_surface").alias("primary_surface"), F.min("mention_photo_ids").alias("mention_photo_ids"), F.min("relation_terms").alias("relation_terms"), F.min("activity_terms").alias("activity_terms"), F.min("venue_terms").alias("venue_terms")).where("size(mention_photo_ids) > 0")
     key = ["user_id", "face_id", "cluster_id"]
     mention = cl.select("user_id", "cluster_id", F.explode("mention_photo_ids").alias("text_photo")).distinct()
-    met = bridges(fu, text_units).join(mention, ["user_id", "text_photo"]).groupBy(*key).agg(
-        F.count_if(F.col("bridge") == "location_month").alias("strict"), F.count_if(F.col("bridge") == "city_month").alias("city"), F.count_if(F.col("bridge") == "near_date_city").alias("near"))
+    met = bridge_counts(fu, text_units, mention)
     same = same_photo_weights(photos, cl)
     act, ven = multiset_overlap(fu, cl, "activity_terms").withColumnRenamed("overlap", "act"), multiset_overlap(fu, cl, "venue_terms").withColumnRenamed("overlap", "ven")
     pairs = same.join(met, key, "full").join(act, key, "full").join(ven, key, "full").fillna(0)
@@ -163,7 +217,8 @@ def pair_scores(photos: DataFrame, face_units: DataFrame, text_units: DataFrame,
         + 0.06 * F.least(F.lit(1.0), F.col("rate") * 1.4) + 0.06 * F.when(full, 1.0).otherwise(0.45) - penalty
     )
     scored = rows.select(*key, F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 6).alias("score")).where("score > 0")
-    return with_margin(scored, ["user_id", "face_id"], "cluster_id").where(f"rank <= {per_face}")
+    ranked = with_margin(scored, ["user_id", "face_id"], "cluster_id")
+    return ranked if per_face is None else ranked.where(f"rank <= {per_face}")
 
 
 def with_margin(df: DataFrame, groups: list[str], tie: str, score: str = "score") -> DataFrame:

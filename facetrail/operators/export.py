@@ -81,7 +81,8 @@ def entity_alignment(targets: DataFrame, clusters: DataFrame, difficulty: DataFr
     rows = names.join(said, ["user_id", "surface_key"]).select("user_id", "person_id", "surface_key", "cluster_id", F.explode(F.when(F.size("mention_photo_ids") > 0, F.col("mention_photo_ids")).otherwise(F.array(F.lit(None).cast("string")))).alias("photo_id")).join(difficulty, ["user_id", "person_id", "photo_id"], "left")
     level = F.when(F.col("photo_id").isNotNull(), F.when(F.col("difficulty") == "easy", 0).when(F.col("difficulty") == "medium", 1).otherwise(2))
     g = rows.groupBy("user_id", "person_id", "surface_key").agg(F.count_distinct("cluster_id").alias("n_clusters"), F.array_sort(F.collect_set("photo_id")).alias("photos"), F.min(level).alias("l"))
-    return g.withColumn("difficulty", F.element_at(F.array(F.lit("easy"), F.lit("medium"), F.lit("hard")), F.col("l") + 1)).drop("l")
+    level = F.element_at(F.array(F.lit("easy"), F.lit("medium"), F.lit("hard")), F.col("l") + 1)
+    return g.withColumn("difficulty", F.when(F.size("photos") > 0, level)).drop("l")
 
 
 def roster(targets: DataFrame, seen: DataFrame, mentions: DataFrame) -> DataFrame:

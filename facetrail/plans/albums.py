@@ -47,7 +47,12 @@ def same_photo_weight(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bridge_counts(spark: SparkSession, d: str) -> DataFrame:
-    return A.bridges(*_t(spark, d, "face_units", "text_units")).groupBy("user_id", "bridge").agg(F.count("*").alias("n"), F.count_distinct("face_id").alias("n_faces"))
+    """Bridges of every album by kind; counted by spot and date, as A.bridge_counts does."""
+    faces, texts = _t(spark, d, "face_units", "text_units")
+    one = texts.select("user_id", F.lit("").alias("cluster_id"), F.col("photo_id").alias("text_photo")).distinct()
+    kinds = F.array(*[F.struct(F.lit(b).alias("bridge"), F.col(c).alias("n")) for b, c in zip(A.BRIDGES, ("strict", "city", "near"))])
+    rows = A.bridge_counts(faces, texts, one).select("user_id", "face_id", F.explode(kinds).alias("b")).where("b.n > 0")
+    return rows.groupBy("user_id", "b.bridge").agg(F.sum("b.n").alias("n"), F.count_distinct("face_id").alias("n_faces"))
 
 
 def activity_overlap(spark: SparkSession, d: str) -> DataFrame:

@@ -63,7 +63,7 @@ def batch_chunking(spark: SparkSession, d: str) -> DataFrame:
 
 
 def greedy_assignment(spark: SparkSession, d: str) -> DataFrame:
-    scores = A.pair_scores(*[table(spark, d, t) for t in ("photos", "face_units", "text_units", "name_clusters")])
+    scores = A.pair_scores(*[table(spark, d, t) for t in ("photos", "face_units", "text_units", "name_clusters")], per_face=None)
     return R.assign_one_to_one(scores, "user_id", "face_id", "cluster_id", "score", "margin")
 
 

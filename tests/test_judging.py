@@ -87,7 +87,7 @@ def test_units_of_photos(spark):
     photos = spark.createDataFrame(rows, schema)
     got = {r.photo_id: r for r in V.text_units(photos).collect()}
     assert set(got) == {"p1", "p2", "p4"}
-    assert got["p1"].person_surfaces == ["Mia"] and got["p1"].relation_terms == ["aunt"] and got["p1"].organization_terms == ["Acme Inc"] and got["p1"].venue_terms == ["clinic"] and got["p1"].has_face
+    assert got["p1"].person_surfaces == ["Mia"] and got["p1"].relation_terms == ["aunt"] and got["p1"].organization_terms == ["Acme Inc"] and got["p1"].venue_terms == ["kitchen", "clinic"] and got["p1"].has_face
     # read off a casual photo of a face: left out; off an invitation: kept
     assert got["p2"].person_surfaces == [] and got["p4"].person_surfaces == ["Bob Roe"]
     faces = V.face_units(photos, spark.createDataFrame([("u", "a")], "user_id string, owner_face string"))
