@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from facetrail.functions.text import fold, is_full_name
+from facetrail.session import cut
 
 
 def empty_list() -> Column:
@@ -159,10 +160,9 @@ def bridge_counts(face_units: DataFrame, text_units: DataFrame, mentions: DataFr
     without being made: photos are counted by spot and date on both sides first, the counts of those that bridge multiplied.
 
     mentions: (user_id, cluster_id, text_photo), distinct. What a photo would bridge to itself is counted and taken off."""
-    f = placed(face_units, "face_id")
-    t = placed(text_units)
+    f, t = cut(placed(face_units, "face_id")), cut(placed(text_units))
     m = t.join(mentions.withColumnRenamed("text_photo", "photo_id"), ["user_id", "photo_id"])
-    spots, near = _spots(f, t), _near(f, t, near_days)
+    spots, near = cut(_spots(f, t)), cut(_near(f, t, near_days))
     n = lambda df, who, keys, name, two="": df.groupBy("user_id", who, *keys).agg(F.count("*").alias(name)).withColumnsRenamed({c: c + two for c in keys})
     by_spot = n(f, "face_id", SPOT, "nf").join(spots, ["user_id", *SPOT]).join(n(m, "cluster_id", SPOT, "nt", "2").withColumnRenamed("ym2", "ym"), ["user_id", "ym", "city2", "place2"])
     by_date = n(f, "face_id", DATED, "nf").join(near, ["user_id", *DATED]).join(n(m, "cluster_id", DATED, "nt", "2").withColumnRenamed("city2", "city"), ["user_id", "city", "ym2", "day2"]).withColumn("k", F.lit(2))

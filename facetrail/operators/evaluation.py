@@ -84,12 +84,21 @@ def weighted_kappa(cells: DataFrame) -> DataFrame:
 def kendall(cells: DataFrame, x: str, y: str, n: str) -> DataFrame:
     """(tau): agreeing less disagreeing pairs over both, ties left out, from the cells of two ordered scores.
 
-    Works on the distinct value pairs, not on the rows; the domain of both scores must be small (ratings, rounded values)."""
-    a, b = cells.select(*[F.col(c).alias(f"{c}1") for c in (x, y, n)]), cells.select(*[F.col(c).alias(f"{c}2") for c in (x, y, n)])
-    s = F.signum(F.col(f"{x}1") - F.col(f"{x}2")) * F.signum(F.col(f"{y}1") - F.col(f"{y}2"))
-    m = F.col(f"{n}1") * F.col(f"{n}2")
-    pairs = a.join(F.broadcast(b), F.col(f"{x}1") > F.col(f"{x}2"))
-    return pairs.agg((F.sum(s * m) / F.nullif(F.sum(F.when(s != 0, m)), F.lit(0))).alias("tau"))
+    Pairs are counted from cumulated counts: for every value of y, the cells before it in x are those of smaller x; the counts
+    below and above a cell are sums over the values of y, one row per pair of a cell and a value of y. The domain of y must be
+    small (a rating, a rounded value); x may be any score."""
+    from pyspark.sql import Window as W
+
+    c = cells.groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.sum(n).alias("n"))
+    values = c.select(F.col("y").alias("v")).distinct()
+    # for each value of y: its count before every x
+    per = c.select("x", F.col("y").alias("v"), "n")
+    grid = c.select("x").distinct().join(F.broadcast(values), F.lit(True)).join(per, ["x", "v"], "left").fillna(0, ["n"])
+    before = grid.withColumn("before", F.sum("n").over(W.partitionBy("v").orderBy("x")) - F.col("n")).select("x", "v", "before")
+    j = c.join(before, "x")
+    agree, against = F.sum(F.when(F.col("v") < F.col("y"), F.col("n") * F.col("before"))), F.sum(F.when(F.col("v") > F.col("y"), F.col("n") * F.col("before")))
+    zero = lambda s: F.coalesce(s, F.lit(0))
+    return j.agg(((zero(agree) - zero(against)) / F.nullif(zero(agree) + zero(against), F.lit(0))).alias("tau"))
 
 
 def average_ranks(df: DataFrame, groups: list[str], value: str, rank: str) -> DataFrame:
@@ -102,30 +111,43 @@ def average_ranks(df: DataFrame, groups: list[str], value: str, rank: str) -> Da
     return df.join(ranks, [*groups, value], "left")
 
 
+#: Chances of 0, 1, 2, .. times in a draw, cumulated (a Poisson law of mean 1), in steps of 1 / 2^32.
+POISSON_STEPS = 2**32
+
+
+def poisson_steps(most: int = 12) -> list[int]:
+    """Bounds of a hashed number below which a unit is drawn at most k times."""
+    import math
+
+    total, out = 0.0, []
+    for k in range(most):
+        total += math.exp(-1) / math.factorial(k)
+        out.append(math.floor(total * POISSON_STEPS))
+    return out
+
+
 def paired_bootstrap(pairs: DataFrame, key: str, a: str, b: str, draws: int, seed: int) -> DataFrame:
     """(mean_delta, ci_low, ci_high, p_two_sided, n_pairs): resampled means of a - b.
 
-    Draw i of resample r is row ``hash(seed, r, i) mod n``: the same on every run and engine. ``pairs`` has one row per unit
-    (a user of an evaluation), so n is small against the data; resamples are spread over the cluster."""
+    Every draw weighs each unit by a hashed number of times, of a Poisson law of mean 1 (the bootstrap of a stream): the same on
+    every run and engine, in one pass over the units without numbering them, their sums combined before the shuffle; only the
+    draws are sorted. A draw without a unit counts as the mean 0."""
     from pyspark.sql import Window as W
 
     from facetrail.functions.text import stable_integer
 
-    spark = pairs.sparkSession
-    d = pairs.where(f"{a} is not null and {b} is not null").select(F.col(key), (F.col(a) - F.col(b)).alias("delta"))
-    numbered = d.withColumn("i", F.row_number().over(W.orderBy(key)) - 1)
-    n = numbered.count()
-    if n == 0:
-        return spark.createDataFrame([], "mean_delta double, ci_low double, ci_high double, p_two_sided double, n_pairs long")
-    draw = spark.range(draws * n).select((F.col("id") / n).cast("long").alias("r"), stable_integer(F.concat_ws(":", F.lit(str(seed)), (F.col("id") / n).cast("long").cast("string"), (F.col("id") % n).cast("string")), n).alias("i"))
-    means = draw.join(numbered.select(F.col("i").cast("long").alias("i"), "delta"), "i").groupBy("r").agg(F.avg("delta").alias("m"))
-    k = F.row_number().over(W.orderBy("m", "r")) - 1
-    ranked = means.withColumn("k", k)
-    observed = numbered.agg(F.avg("delta").alias("o"), F.count("*").alias("n_pairs"))
+    d = pairs.where(f"{a} is not null and {b} is not null").select(F.col(key).cast("string").alias("u"), (F.col(a) - F.col(b)).alias("delta"))
+    rows = d.select("u", "delta", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("r"))
+    x = stable_integer(F.concat_ws(":", F.lit(str(seed)), F.col("r").cast("string"), "u"), POISSON_STEPS)
+    times = sum((F.when(x >= s, 1).otherwise(0) for s in poisson_steps()), F.lit(0))
+    means = rows.withColumn("w", times).groupBy("r").agg(F.coalesce(F.sum(F.col("w") * F.col("delta")) / F.nullif(F.sum("w"), F.lit(0)), F.lit(0.0)).alias("m"))
+    # as many rows as draws
+    ranked = means.withColumn("k", F.row_number().over(W.orderBy("m", "r")) - 1)
     stats = ranked.agg(
         F.max(F.when(F.col("k") == int(0.025 * (draws - 1)), F.col("m"))).alias("lo"), F.max(F.when(F.col("k") == int(0.975 * (draws - 1)), F.col("m"))).alias("hi"),
         F.avg((F.col("m") <= 0).cast("double")).alias("le"), F.avg((F.col("m") >= 0).cast("double")).alias("ge"),
     )
-    one = stats.join(F.broadcast(observed), F.lit(True))
+    observed = d.agg(F.avg("delta").alias("o"), F.count("*").alias("n_pairs")).where("n_pairs > 0")
+    one = observed.join(F.broadcast(stats), F.lit(True))
     p = F.when(F.col("o") == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * F.least("le", "ge")))
     return one.select(F.round("o", 6).alias("mean_delta"), F.round("lo", 6).alias("ci_low"), F.round("hi", 6).alias("ci_high"), F.round(p, 6).alias("p_two_sided"), "n_pairs")

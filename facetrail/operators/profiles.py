@@ -129,15 +129,27 @@ def owner_gender(face_units: DataFrame, owners: DataFrame) -> DataFrame:
     return votes.withColumn("gender", F.when((F.col("woman") == 0) & (F.col("man") == 0), None).when(F.col("woman") >= F.col("man"), "woman").otherwise("man"))
 
 
-def redacted(texts: DataFrame, names: DataFrame, text: str, mark: str = "[NAME]") -> DataFrame:
-    """texts (user_id, ...) with the names of their album replaced, longest first, with a possessive if there is one.
-
-    names: (user_id, name). Each album's names become one pattern; albums without names keep their texts."""
-    safe = F.regexp_replace(F.trim("name"), r"([.()\[\]*+?|^$\\])", r"\\$1")
-    clean = names.where("length(trim(name)) >= 3").select("user_id", safe.alias("p"), F.length(F.trim("name")).alias("n")).distinct()
-    pattern = clean.groupBy("user_id").agg(F.concat_ws("|", F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "p"))), lambda s: s["p"])).alias("__p"))
-    whole = F.concat(F.lit("("), F.col("__p"), F.lit(")"))
-    return texts.join(pattern, "user_id", "left").withColumn(text, F.when(F.col("__p").isNull(), F.col(text)).otherwise(F.regexp_replace(F.col(text), whole, F.lit(mark)))).drop("__p")
+def redacted(texts: DataFrame, names: DataFrame, text: str, key: str, mark: str = "someone", allowed: DataFrame | None = None) -> DataFrame:
+    """texts (user_id, key, ..) with the names of their album replaced at word borders, regardless of case, the longest first; a
+    possessive stays one (someone's), runs of white space become single blanks.
+
+    names: (user_id, name[, mark]). Only names whose first word the text has are tried on it: they meet by an equality join on
+    album and word. ``allowed``: (user_id, key, allowed), a text whose names are left alone (those it holds, in lower case)."""
+    marked = names.withColumn("mark", F.lit(mark)) if "mark" not in names.columns else names
+    first = lambda c: F.regexp_extract(F.lower(c), r"[\p{L}\p{N}_]+", 0)
+    n = marked.select("user_id", F.trim("name").alias("name"), "mark", first(F.col("name")).alias("w")).where("w <> ''").groupBy("user_id", "name", "w").agg(F.min("mark").alias("mark"))
+    words = texts.select("user_id", key, F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))).alias("w"))
+    met = words.join(n, ["user_id", "w"])
+    if allowed is not None:
+        met = met.join(allowed.select("user_id", key, F.lower("allowed").alias("__allowed")), ["user_id", key], "left").where(~F.coalesce(F.contains("__allowed", F.lower("name")), F.lit(False)))
+    order = F.struct((-F.length("name")).alias("n"), "name", "mark")
+    of = met.groupBy("user_id", key).agg(F.array_sort(F.collect_set(order)).alias("__names"))
+    out = texts.join(of, ["user_id", key], "left")
+    quoted = lambda x: F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}_])\Q"), F.regexp_replace(x["name"], r"\\E", ""), F.lit(r"\E('s|’s)?(?![\p{L}\p{N}_])"))
+    # the mark comes behind a sign that no text has, so that what has been replaced is not read again
+    step = lambda acc, x: F.regexp_replace(F.regexp_replace(acc, F.concat(quoted(x), F.lit("(?<=['’]s)")), F.concat(F.lit("\u0001"), x["mark"], F.lit("'s"))), quoted(x), F.concat(F.lit("\u0001"), x["mark"]))
+    done = F.aggregate("__names", one_space(F.col(text)), step)
+    return out.withColumn(text, F.when(F.col("__names").isNull(), one_space(F.col(text))).otherwise(F.regexp_replace(done, "\u0001", ""))).drop("__names")
 
 
 def faithfulness(kind: Column, correct: Column, value: Column, bound: Column, prediction: Column, n_ids: Column, all_known: Column, reasoning: Column, has_face: Column, anchored: Column) -> Column:

@@ -161,9 +161,10 @@ r AS (SELECT *, CASE WHEN c IS NOT NULL THEN rank() OVER (PARTITION BY variant O
   CASE WHEN y IS NOT NULL THEN rank() OVER (PARTITION BY variant ORDER BY y) + (count(*) OVER (PARTITION BY variant, y) - 1) / 2.0::DOUBLE END AS ry FROM u)
 SELECT variant, count(*) AS n, round(corr(c, y), 9) AS pearson, round(corr(rc, ry), 9) AS spearman, round(avg(abs(c - y)), 9) AS mae FROM r GROUP BY variant""",
     "bootstrap_variants": f"""WITH {SCORED}, u AS (SELECT user_id, round(avg(name_score) FILTER (variant = 'full'), 9) - round(avg(name_score) FILTER (variant <> 'full'), 9) AS delta FROM scored GROUP BY user_id),
-d AS (SELECT delta, row_number() OVER (ORDER BY user_id) - 1 AS i FROM u WHERE delta IS NOT NULL), n AS (SELECT count(*) AS n FROM d),
-w AS (SELECT r, ('0x' || sha256('20260609:' || r || ':' || k)[1:8])::BIGINT % n AS i FROM n, (SELECT unnest(range(200)) AS r), LATERAL (SELECT unnest(range(n.n)) AS k)),
-m AS (SELECT r, avg(delta) AS m FROM w JOIN d USING (i) GROUP BY r), k AS (SELECT m, row_number() OVER (ORDER BY m, r) - 1 AS k FROM m)
+d AS (SELECT user_id, delta FROM u WHERE delta IS NOT NULL), n AS (SELECT count(*) AS n FROM d),
+x AS (SELECT r, delta, ('0x' || sha256('20260609:' || r || ':' || user_id)[1:8])::BIGINT % 4294967296 AS x FROM d, (SELECT unnest(range(200)) AS r)),
+w AS (SELECT r, delta, len(list_filter({E.poisson_steps()}, lambda s: x >= s)) AS w FROM x),
+m AS (SELECT r, coalesce(sum(w * delta) / nullif(sum(w), 0), 0) AS m FROM w GROUP BY r), k AS (SELECT m, row_number() OVER (ORDER BY m, r) - 1 AS k FROM m)
 SELECT round((SELECT avg(delta) FROM d), 6) AS mean_delta, round(max(m) FILTER (k = 4), 6) AS ci_low, round(max(m) FILTER (k = 194), 6) AS ci_high,
   round(CASE WHEN (SELECT avg(delta) FROM d) = 0 THEN 1 ELSE least(1, 2 * least(avg((m <= 0)::INT), avg((m >= 0)::INT))) END, 6) AS p_two_sided, (SELECT n FROM n) AS n_pairs FROM k""",
     "evidence_f1": """

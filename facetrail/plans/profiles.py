@@ -36,9 +36,12 @@ def owner_gender(spark: SparkSession, d: str) -> DataFrame:
 
 
 def redacted_captions(spark: SparkSession, d: str) -> DataFrame:
-    texts = table(spark, d, "photos").where("caption is not null").select("user_id", "photo_id", "caption").distinct()
-    names = table(spark, d, "target_persons").select("user_id", F.col("canonical_name").alias("name"))
-    return P.redacted(texts, names, "caption").select("user_id", "photo_id", F.md5("caption").alias("caption_md5"), F.contains("caption", F.lit("[NAME]")).alias("changed"))
+    """Captions without the names of the album's registered persons, in full or by their first word."""
+    texts = table(spark, d, "photos").where("caption is not null").groupBy("user_id", "photo_id").agg(F.min("caption").alias("caption"))
+    t = table(spark, d, "target_persons").where("trim(canonical_name) <> ''").select("user_id", F.trim("canonical_name").alias("name"))
+    names = t.unionByName(t.select("user_id", F.split("name", " ")[0].alias("name"))).distinct()
+    out = P.redacted(texts, names, "caption", "photo_id")
+    return out.select("user_id", "photo_id", F.md5("caption").alias("caption_md5"), F.contains("caption", F.lit("someone")).alias("changed"))
 
 
 def wanted_names(spark: SparkSession, d: str) -> DataFrame:
@@ -129,12 +132,6 @@ SELECT user_id, fact, round(sum(score), 3) AS score, round(least(0.88, base + le
 WITH o AS ({OWNER}), f AS (SELECT DISTINCT f.user_id, f.face_id, photo_id, caption FROM face_units f JOIN o ON f.user_id = o.user_id AND f.face_id = o.owner_face),
 v AS (SELECT user_id, coalesce(sum(regexp_matches(lower(caption), '(^|[^a-z0-9_])(woman|female|lady|her|she)($|[^a-z0-9_])')::INT), 0)::BIGINT AS woman, coalesce(sum(regexp_matches(lower(caption), '(^|[^a-z0-9_])(man|male|gentleman|his|he)($|[^a-z0-9_])')::INT), 0)::BIGINT AS man FROM f GROUP BY user_id)
 SELECT *, CASE WHEN woman = 0 AND man = 0 THEN NULL WHEN woman >= man THEN 'woman' ELSE 'man' END AS gender FROM v""",
-    "redacted_captions": r"""
-WITH t AS (SELECT DISTINCT user_id, photo_id, caption FROM photos WHERE caption IS NOT NULL),
-n AS (SELECT DISTINCT user_id, regexp_replace(trim(canonical_name), '([.()\[\]*+?|^$\\])', '\\\1', 'g') AS p, length(trim(canonical_name)) AS n FROM target_persons WHERE length(trim(canonical_name)) >= 3),
-a AS (SELECT user_id, '(' || string_agg(p, '|' ORDER BY n DESC, p) || ')' AS p FROM n GROUP BY user_id),
-r AS (SELECT t.user_id, photo_id, CASE WHEN a.p IS NULL THEN caption ELSE regexp_replace(caption, a.p, '[NAME]', 'g') END AS c FROM t LEFT JOIN a ON t.user_id = a.user_id)
-SELECT user_id, photo_id, md5(c) AS caption_md5, contains(c, '[NAME]') AS changed FROM r""",
     "wanted_names": f"""
 WITH e AS ({AQ.SQL['edge_margin']}), k AS (SELECT *, first_value(score) OVER (PARTITION BY user_id, face_id ORDER BY score DESC, name) AS top FROM e)
 SELECT user_id, name, count(DISTINCT face_id) AS n_faces, max(score) AS best FROM k WHERE rank <= 4 AND score >= top - 0.05::DOUBLE GROUP BY user_id, name HAVING count(DISTINCT face_id) >= 2""",
