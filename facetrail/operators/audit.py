@@ -18,14 +18,26 @@ LEAKS = {
 }
 
 
-def violations(photos: DataFrame, face_units: DataFrame, targets: DataFrame) -> DataFrame:
-    """(rule, user_id, subject): ill-formed ids, entities without surface or of unknown source or kind, face units of
-    unknown photos, targets at faces that no photo shows, targets without a name, photo ids delivered with different dates."""
+#: Columns that a public photo must not have.
+FORBIDDEN_COLUMNS = ("category", "event_context_tags", "event_id", "has_image", "image_path", "photo_role", "text_verified", "traceability", "visual_entities")
+
+
+def forbidden_columns(photos: DataFrame) -> list[str]:
+    """Columns of a table of public photos that it must not have."""
+    return sorted(set(photos.columns) & set(FORBIDDEN_COLUMNS))
+
+
+def violations(photos: DataFrame, face_units: DataFrame, targets: DataFrame, predicted: DataFrame | None = None) -> DataFrame:
+    """(rule, user_id, subject): ill-formed ids and ids that tell private ones, the owner as a face, entities without surface or
+    of unknown source or kind, face units of unknown photos or with faces that no photo shows, targets at faces that no photo
+    shows, without a name or without aliases, photo ids delivered with different dates; with ``predicted``, also persons
+    without a reasoning and persons that cite unknown photos."""
     p = photos.select("user_id", "photo_id", "timestamp", "visible_face_ids", "text_entities").distinct()
     faces = p.select("user_id", F.explode("visible_face_ids").alias("face_id")).distinct()
     entities = p.select("user_id", "photo_id", F.explode("text_entities").alias("e"))
     rule = lambda df, name, subject: df.select(F.lit(name).alias("rule"), "user_id", F.col(subject).alias("subject")).distinct()
-    t = targets.select("user_id", "person_id", "face_id", "canonical_name").distinct()
+    t = targets.select("user_id", "person_id", "face_id", "canonical_name", "accepted_aliases").distinct()
+    known = p.select("user_id", "photo_id").distinct()
     found = [
         rule(p.where(~F.col("photo_id").rlike(PHOTO_ID)), "bad_photo_id", "photo_id"),
         rule(faces.where(~F.col("face_id").rlike(FACE_ID)), "bad_face_id", "face_id"),
@@ -35,8 +47,17 @@ def violations(photos: DataFrame, face_units: DataFrame, targets: DataFrame) ->
         rule(face_units.join(p.select("user_id", "photo_id").distinct(), ["user_id", "photo_id"], "left_anti"), "unit_of_unknown_photo", "photo_id"),
         rule(t.where("face_id <> ''").join(faces, ["user_id", "face_id"], "left_anti"), "target_face_not_shown", "person_id"),
         rule(t.where("trim(coalesce(canonical_name, '')) = ''"), "target_without_name", "person_id"),
+        rule(p.where(F.lower("photo_id").rlike(LEAKS["private_id"])), "private_photo_id", "photo_id"),
+        rule(faces.where("face_id = 'owner'"), "owner_as_face", "face_id"),
+        rule(face_units.select("user_id", "face_id").where("face_id is not null").distinct().join(faces, ["user_id", "face_id"], "left_anti"), "unit_of_unknown_face", "face_id"),
+        rule(t.where(F.size(F.filter(F.coalesce("accepted_aliases", F.array().cast("array<string>")), lambda x: F.trim(x) != "")) == 0), "target_without_aliases", "person_id"),
         rule(p.groupBy("user_id", "photo_id").agg(F.count_distinct("timestamp").alias("n")).where("n > 1"), "photo_with_two_dates", "photo_id"),
     ]
+    if predicted is not None:
+        q = predicted.select("user_id", F.col("row_id").cast("string").alias("row_id"), "reasoning_path", "evidence_photo_ids").distinct()
+        found.append(rule(q.where("trim(coalesce(reasoning_path, '')) = ''"), "person_without_reasoning", "row_id"))
+        cited = q.select("user_id", "row_id", F.explode("evidence_photo_ids").alias("photo_id")).where("photo_id is not null")
+        found.append(rule(cited.join(known, ["user_id", "photo_id"], "left_anti"), "unknown_photo_cited", "row_id"))
     return reduce(DataFrame.unionByName, found)
 
 

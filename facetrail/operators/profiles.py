@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from facetrail.functions.people import plausible_name
 from facetrail.functions.text import fold, is_full_name, one_space
 from facetrail.operators.albums import appearances, empty_list
 
@@ -36,20 +37,27 @@ def surname_fits(a: str, b: str) -> bool:
 
 
 def merge_surfaces(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Greedy groups of the surfaces of one album and given name: the most frequent, then longest, leads."""
-    full = pdf[pdf["is_full"]].sort_values(["n", "size", "surface"], ascending=[False, False, True])
+    """Groups of the surfaces of one album and given name: the most frequent, then longest, leads all that fit it and have no
+    leader yet, as ``surname_fits`` says. A surface without a family name joins
+    the full names if there is only one group of them. Each surface is looked up by its family name and its initial, so the
+    time is linear but for the sort."""
+    full = pdf[pdf["is_full"]].sort_values(["n", "size", "surface"], ascending=[False, False, True])["surface"].tolist()
+    last = {s: s.split()[-1].lower().strip(".") for s in full}
+    by_name: dict[str, list[str]] = {}
+    by_letter: dict[str, list[str]] = {}
+    for s in full:
+        by_name.setdefault(last[s], []).append(s)
+        by_letter.setdefault(last[s][:1], []).append(s)
     leader: dict[str, str] = {}
-    leads = []
-    for s in full["surface"]:
-        if s in leader:
-            continue
-        leader[s] = s
-        leads.append(s)
-        for other in full["surface"]:
-            if other not in leader and surname_fits(s.split()[-1].lower(), other.split()[-1].lower()):
-                leader[other] = s
+    for s in full:
+        if s not in leader:
+            name = last[s]
+            fitting = by_letter[name] if len(name) == 1 else by_name[name] + by_name.get(name[:1], [])
+            for other in [s, *fitting]:
+                leader.setdefault(other, s)
+    leads = list(dict.fromkeys(leader[s] for s in full))
     for s in pdf.loc[~pdf["is_full"], "surface"]:
-        leader[s] = leads[0] if len(full) == 1 else s
+        leader[s] = leads[0] if len(leads) == 1 else s
     return pd.DataFrame({"user_id": pdf["user_id"], "first": pdf["first"], "surface": pdf["surface"], "leader": [leader[s] for s in pdf["surface"]], "n": pdf["n"]})
 
 
@@ -72,10 +80,18 @@ def near_given_names(names: DataFrame, least: float = 0.82, gap: float = 0.08) -
 def name_clusters(units: DataFrame) -> DataFrame:
     """(user_id, leader, surfaces, n_mentions, n_photos): surfaces of an album that share a given name and fit in surname.
 
-    Only the distinct surfaces of one given name in one album meet in a group."""
+    Only the distinct surfaces of one given name in one album meet in a group. A single name that is no given name of a full one
+    goes to the only given name that is near enough to it (``near_given_names``). Signs, firms and words of places are no
+    names (``plausible_name``)."""
     one = units.groupBy("user_id", "unit_id").agg(F.min("photo_id").alias("photo_id"), F.array_distinct(F.flatten(F.collect_list(F.coalesce("person_surfaces", empty_list())))).alias("names"))
-    m = one.select("user_id", "photo_id", F.explode("names").alias("raw")).select("user_id", "photo_id", F.initcap(one_space(F.col("raw"))).alias("surface")).where("surface rlike '[A-Za-z]{2}'")
+    m = one.select("user_id", "photo_id", F.explode("names").alias("raw")).select("user_id", "photo_id", F.initcap(one_space(F.col("raw"))).alias("surface"))
+    m = m.where(plausible_name(F.col("surface")))
     counted = m.groupBy("user_id", "surface").agg(F.count("*").alias("n")).withColumn("first", F.lower(F.split("surface", " ")[0])).withColumn("is_full", is_full_name(F.col("surface"))).withColumn("size", F.length("surface"))
+    # single names near one given name of the album's full names count as that given name
+    firsts = counted.where("is_full").groupBy("user_id").agg(F.collect_set("first").alias("firsts"))
+    alone = counted.where("not is_full").select("user_id", F.col("first").alias("short")).distinct().join(firsts, "user_id").where(~F.array_contains("firsts", F.col("short")))
+    near = near_given_names(alone).select("user_id", F.col("first").alias("__near"), F.col("short").alias("first"), F.lit(False).alias("is_full"))
+    counted = counted.join(near, ["user_id", "first", "is_full"], "left").withColumn("first", F.coalesce("__near", "first")).drop("__near")
     led = counted.groupBy("user_id", "first").applyInPandas(merge_surfaces, "user_id string, first string, surface string, leader string, n long")
     return m.join(led.drop("n"), ["user_id", "surface"]).groupBy("user_id", "leader").agg(F.array_sort(F.collect_set("surface")).alias("surfaces"), F.count("*").alias("n_mentions"), F.count_distinct("photo_id").alias("n_photos"))
 
@@ -129,16 +145,19 @@ def owner_gender(face_units: DataFrame, owners: DataFrame) -> DataFrame:
     return votes.withColumn("gender", F.when((F.col("woman") == 0) & (F.col("man") == 0), None).when(F.col("woman") >= F.col("man"), "woman").otherwise("man"))
 
 
-def redacted(texts: DataFrame, names: DataFrame, text: str, key: str, mark: str = "someone", allowed: DataFrame | None = None) -> DataFrame:
-    """texts (user_id, key, ..) with the names of their album replaced at word borders, regardless of case, the longest first; a
+def redacted(texts: DataFrame, names: DataFrame, text: str, key: str | None = None, mark: str = "[NAME]", allowed: DataFrame | None = None) -> DataFrame:
+    """texts (user_id, ..) with the names of their album replaced at word borders, regardless of case, the longest first; a
     possessive stays one (someone's), runs of white space become single blanks.
 
     names: (user_id, name[, mark]). Only names whose first word the text has are tried on it: they meet by an equality join on
-    album and word. ``allowed``: (user_id, key, allowed), a text whose names are left alone (those it holds, in lower case)."""
+    album and word. ``key`` tells the texts of an album apart, by default their content does. ``allowed``: (user_id, key,
+    allowed), texts whose names are left alone (those they hold, in lower case)."""
+    if key is None:
+        return redacted(texts.withColumn("__key", F.sha1(F.col(text))), names, text, "__key", mark).drop("__key")
     marked = names.withColumn("mark", F.lit(mark)) if "mark" not in names.columns else names
     first = lambda c: F.regexp_extract(F.lower(c), r"[\p{L}\p{N}_]+", 0)
     n = marked.select("user_id", F.trim("name").alias("name"), "mark", first(F.col("name")).alias("w")).where("w <> ''").groupBy("user_id", "name", "w").agg(F.min("mark").alias("mark"))
-    words = texts.select("user_id", key, F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))).alias("w"))
+    words = texts.select("user_id", key, text).distinct().select("user_id", key, F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))).alias("w"))
     met = words.join(n, ["user_id", "w"])
     if allowed is not None:
         met = met.join(allowed.select("user_id", key, F.lower("allowed").alias("__allowed")), ["user_id", key], "left").where(~F.coalesce(F.contains("__allowed", F.lower("name")), F.lit(False)))

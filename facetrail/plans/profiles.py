@@ -40,7 +40,7 @@ def redacted_captions(spark: SparkSession, d: str) -> DataFrame:
     texts = table(spark, d, "photos").where("caption is not null").groupBy("user_id", "photo_id").agg(F.min("caption").alias("caption"))
     t = table(spark, d, "target_persons").where("trim(canonical_name) <> ''").select("user_id", F.trim("canonical_name").alias("name"))
     names = t.unionByName(t.select("user_id", F.split("name", " ")[0].alias("name"))).distinct()
-    out = P.redacted(texts, names, "caption", "photo_id")
+    out = P.redacted(texts, names, "caption", "photo_id", "someone")
     return out.select("user_id", "photo_id", F.md5("caption").alias("caption_md5"), F.contains("caption", F.lit("someone")).alias("changed"))
 
 

@@ -100,7 +100,7 @@ def stable_timestamps(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dual_view_audit(spark: SparkSession, d: str) -> DataFrame:
-    return audit.violations(*[table(spark, d, t) for t in ("photos", "face_units", "target_persons")]).groupBy("rule", "user_id").agg(F.count("*").alias("n"), F.min("subject").alias("first_subject"))
+    return audit.violations(*[table(spark, d, t) for t in ("photos", "face_units", "target_persons", "predicted_persons")]).groupBy("rule", "user_id").agg(F.count("*").alias("n"), F.min("subject").alias("first_subject"))
 
 
 def leak_scan(spark: SparkSession, d: str) -> DataFrame:
@@ -204,8 +204,15 @@ WITH one AS (SELECT user_id, photo_id, min(year_month) AS ym FROM photos GROUP B
 SELECT user_id, photo_id, ('0x' || sha256(user_id || ':' || photo_id)[1:8])::BIGINT % 28 + 1 AS day, ('0x' || sha256(user_id || ':' || photo_id || ':m')[1:8])::BIGINT % 1440 AS minute FROM one WHERE ym IS NOT NULL AND ym <> ''""",
     "dual_view_audit": """
 WITH p AS (SELECT DISTINCT user_id, photo_id, timestamp FROM photos), f AS (SELECT DISTINCT user_id, unnest(visible_face_ids) AS face_id FROM photos),
-e AS (SELECT user_id, photo_id, unnest(text_entities) AS e FROM photos), t AS (SELECT DISTINCT user_id, person_id, face_id, canonical_name FROM target_persons),
+e AS (SELECT user_id, photo_id, unnest(text_entities) AS e FROM photos), t AS (SELECT DISTINCT user_id, person_id, face_id, canonical_name, accepted_aliases FROM target_persons),
 v AS (
+  SELECT 'private_photo_id' AS rule, user_id, photo_id AS subject FROM p WHERE regexp_matches(lower(photo_id), '(^|[^a-z0-9_])(kp_fact_|kp_node_|evt_[0-9]|amb_[0-9])')
+  UNION SELECT 'owner_as_face', user_id, face_id FROM f WHERE face_id = 'owner'
+  UNION SELECT 'unit_of_unknown_face', user_id, face_id FROM face_units u WHERE face_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM f WHERE f.user_id = u.user_id AND f.face_id = u.face_id)
+  UNION SELECT 'target_without_aliases', user_id, person_id FROM t WHERE len(list_filter(coalesce(accepted_aliases, []), lambda x: trim(x) <> '')) = 0
+  UNION SELECT 'person_without_reasoning', user_id, row_id::VARCHAR FROM predicted_persons WHERE trim(coalesce(reasoning_path, '')) = ''
+  UNION SELECT 'unknown_photo_cited', user_id, row_id::VARCHAR FROM (SELECT user_id, row_id, unnest(evidence_photo_ids) AS photo_id FROM predicted_persons) c WHERE photo_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM p WHERE p.user_id = c.user_id AND p.photo_id = c.photo_id)
+  UNION
   SELECT 'bad_photo_id' AS rule, user_id, photo_id AS subject FROM p WHERE NOT regexp_matches(photo_id, '^photo_[0-9]{4,}$')
   UNION SELECT 'bad_face_id', user_id, face_id FROM f WHERE NOT regexp_matches(face_id, '^face_[0-9]{3,}$')
   UNION SELECT 'entity_without_surface', user_id, photo_id FROM e WHERE trim(coalesce(e.surface, '')) = ''

@@ -39,3 +39,32 @@ def test_kendall_equals_all_pairs(spark):
             agree, against = agree + (s > 0) * n * m, against + (s < 0) * n * m
     got = E.kendall(spark.createDataFrame(rows, "x double, y double, n long"), "x", "y", "n").first()["tau"]
     assert got == pytest.approx((agree - against) / (agree + against))
+
+
+def test_surnames_are_merged_as_if_one_by_one():
+    import pandas as pd
+
+    rng = random.Random(5)
+    for _ in range(60):
+        names = {f"Ann {rng.choice(['Kim', 'King', 'K.', 'Lee', 'L', 'Le', 'Moe'])}" for _ in range(rng.randrange(1, 7))} | ({"Ann"} if rng.random() < 0.5 else set())
+        rows = [("u", "ann", s, rng.randrange(1, 4), " " in s, len(s)) for s in sorted(names)]
+        pdf = pd.DataFrame(rows, columns=["user_id", "first", "surface", "n", "is_full", "size"])
+        want: dict = {}
+        full = [r[2] for r in sorted((r for r in rows if r[4]), key=lambda r: (-r[3], -r[5], r[2]))]
+        for s in full:
+            if s not in want:
+                want[s] = s
+                for o in full:
+                    if o not in want and P.surname_fits(s.split()[-1].lower(), o.split()[-1].lower()):
+                        want[o] = s
+        leads = list(dict.fromkeys(want[s] for s in full))
+        if "Ann" in names:
+            want["Ann"] = leads[0] if len(leads) == 1 else "Ann"
+        assert dict(P.merge_surfaces(pdf)[["surface", "leader"]].itertuples(index=False)) == want
+
+
+def test_clusters_of_near_given_names(spark):
+    units = [("u", "1", "p1", ["Jonathan Kim", "Kitchen"]), ("u", "2", "p2", ["Jonathn"]), ("u", "3", "p3", ["Jonathan K."]), ("v", "4", "p4", ["Jonathn"])]
+    df = spark.createDataFrame(units, "user_id string, unit_id string, photo_id string, person_surfaces array<string>")
+    got = {(r.user_id, r.leader): (r.surfaces, r.n_mentions) for r in P.name_clusters(df).collect()}
+    assert got == {("u", "Jonathan Kim"): (["Jonathan K.", "Jonathan Kim", "Jonathn"], 3), ("v", "Jonathn"): (["Jonathn"], 1)}
