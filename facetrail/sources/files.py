@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -103,3 +105,60 @@ def read_texts(spark: SparkSession, pattern: str) -> DataFrame:
 def table_paths(root: str) -> dict[str, str]:
     """Parquet tables of a folder by name."""
     return {f[: -len(".parquet")]: os.path.join(root, f) for f in sorted(os.listdir(root)) if f.endswith(".parquet")}
+
+
+def read_reports(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
+    """(user_id, fields of schema): one JSON report per user, found by a glob; the user is the ``user_####`` folder of its path."""
+    folder = F.regexp_extract(F.input_file_name(), r"(user_[0-9]+)", 1)
+    rows = spark.read.schema(schema).option("multiLine", True).json(pattern)
+    return rows.select(folder.alias("user_id"), *[c for c in rows.columns if c != "user_id"])
+
+
+def write_csv_as_first(tables: list[DataFrame], path: str) -> None:
+    """One CSV whose header is that of the first table; columns only others have are left out, missing ones are empty."""
+    columns = tables[0].columns
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t.select(*[c for c in columns if c in t.columns]), allowMissingColumns=True)
+    out.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+
+
+def expanded(value, environment: dict[str, str] | None = None):
+    """``${NAME}`` and ``${NAME:default}`` in the texts of a configuration replaced by the environment; unset names without a
+    default are empty."""
+    env = os.environ if environment is None else environment
+    if isinstance(value, dict):
+        return {k: expanded(v, env) for k, v in value.items()}
+    if isinstance(value, list):
+        return [expanded(v, env) for v in value]
+    if isinstance(value, str):
+        return re.sub(r"\$\{([A-Za-z_][A-Za-z0-9_]*)(?::([^}]*))?\}", lambda m: env.get(m.group(1), m.group(2) or ""), value)
+    return value
+
+
+def read_config(path: str, defaults: dict, environment: dict[str, str] | None = None) -> dict:
+    """A JSON configuration over its defaults: keys without a default are dropped, values take the default's type; a missing file
+    gives the defaults."""
+    found = {}
+    if os.path.exists(path):
+        with open(path, encoding="utf-8") as f:
+            found = expanded(json.load(f), environment)
+    if not isinstance(found, dict):
+        raise ValueError(f"no configuration object: {path}")
+
+    def typed(value, default):
+        if value is None or default is None:
+            return default if value is None else value
+        if isinstance(default, bool):
+            return value if isinstance(value, bool) else str(value).strip().lower() in ("1", "true", "yes", "on")
+        return type(default)(value)
+
+    return {k: typed(found.get(k), d) for k, d in defaults.items()}
+
+
+def text_list(c: Column) -> Column:
+    """A list of texts from a text that is a JSON array, or else one value; blank values and null give an empty list."""
+    array = F.from_json(c, "array<string>", {"allowSingleQuotes": "false"})
+    many = F.when(c.rlike(r"^\s*\["), array)
+    one = F.when(F.trim(c) != "", F.array(c))
+    return F.filter(F.coalesce(many, one, F.array().cast("array<string>")), lambda x: F.trim(x) != "")

@@ -59,3 +59,21 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("select count(*) from faces").first()[0] > 0
+
+
+def test_reports_configurations_and_lists(spark, tmp_path):
+    for u, v in (("user_0001", 0.5), ("user_0002", 0.25)):
+        (tmp_path / "runs" / u).mkdir(parents=True)
+        (tmp_path / "runs" / u / "report.json").write_text(json.dumps({"metrics": {"pir": v}, "other": 1}, indent=1))
+    got = S.read_reports(spark, f"{tmp_path}/runs/*/report.json", "metrics struct<pir:double>")
+    assert rows_of(got.select("user_id", "metrics.pir")) == [("user_0001", 0.5), ("user_0002", 0.25)]
+    a, b = spark.createDataFrame([(1, "x")], "k int, v string"), spark.createDataFrame([(True, 2)], "z boolean, k int")
+    S.write_csv_as_first([a, b], f"{tmp_path}/first")
+    back = spark.read.option("header", True).csv(f"{tmp_path}/first")
+    assert back.columns == ["k", "v"] and rows_of(back) == [("1", "x"), ("2", None)]
+    (tmp_path / "c.json").write_text('{"n": "7", "on": "yes", "url": "${HOST:local}/${NONE}", "extra": 1}')
+    defaults = {"n": 1, "on": False, "url": "", "rate": 0.5, "names": None}
+    assert S.read_config(f"{tmp_path}/c.json", defaults, {}) == {"n": 7, "on": True, "url": "local/", "rate": 0.5, "names": None}
+    assert S.read_config(f"{tmp_path}/none.json", defaults) == defaults and S.expanded(["${HOST:local}"], {"HOST": "h"}) == ["h"]
+    texts = spark.createDataFrame([(i, t) for i, t in enumerate(['["a", " ", "b"]', "plain", " ", None, "[broken"])], "i int, t string")
+    assert [r[0] for r in texts.orderBy("i").select(S.text_list(F.col("t"))).collect()][:4] == [["a", "b"], ["plain"], [], []]
